@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from tidemark.plans import telemetry
+
+_MODULES = [telemetry]
+
+QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
