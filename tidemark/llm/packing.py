@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored
-from tidemark.llm.tokens import ChunkEncoder
+from tidemark.llm.tokens import encoder
 
 #: Pieces of a cell on average; a cell's arrays take a few MB.
 CELL = 50_000
@@ -27,14 +27,15 @@ POOL, ROUNDS = 8, 12
 
 def _pieces(vocabulary: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkEncoder(vocabulary)
+        encode = encoder(vocabulary)
         end = np.array([end_id], "<u4")
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
                 rows = []
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
-                    ids = np.concatenate((ids.astype("<u4"), end))
+                flat, bounds = encode(batch.column("text"))
+                for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                    ids = np.concatenate((flat[bounds[i] : bounds[i + 1]].astype("<u4"), end))
                     for k in range(0, len(ids), capacity):
                         part = ids[k : k + capacity]
                         rows.append((doc_id, k // capacity, k, len(part), zlib.crc32(part.tobytes())))

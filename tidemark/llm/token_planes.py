@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import scratch_path, small_side, stored
-from tidemark.llm.tokens import ChunkEncoder
+from tidemark.llm.tokens import encoder
 
 MAGIC = b"TDP1"
 BLOCK = 1 << 16
@@ -129,7 +129,7 @@ def open_fs(path: str) -> tuple[fs.FileSystem, str]:
 
 def _write(path: str, vocabulary: str, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = ChunkEncoder(vocabulary), TaskContext.get().partitionId()
+        encode, part = encoder(vocabulary), TaskContext.get().partitionId()
         store, root = open_fs(path)
         store.create_dir(root, recursive=True)
         name = posixpath.join(root, f"part-{part:06d}-{uuid.uuid4().hex}.tdp")  # an attempt that fails leaves a file that the manifest doesn't name
@@ -137,10 +137,11 @@ def _write(path: str, vocabulary: str, end_id: int, kind: str):
         with store.open_output_stream(name) as out:
             w = PlaneWriter(out, kind)
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    some = batch.slice(at, 256)
-                    for doc_id, ids in zip(some.column("doc_id").to_pylist(), encode([t or "" for t in some.column("text").to_pylist()]), strict=True):
-                        w.add(doc_id, np.concatenate((ids.astype("<u4"), end)))
+                for at in range(0, batch.num_rows, 4096):
+                    some = batch.slice(at, 4096)
+                    ids, bounds = encode(some.column("text"))
+                    for i, doc_id in enumerate(some.column("doc_id").to_pylist()):
+                        w.add(doc_id, np.concatenate((ids[bounds[i] : bounds[i + 1]], end)))
                         docs += 1
             n = w.close()
         if docs:
@@ -186,7 +187,7 @@ def read_tokens(manifest: DataFrame, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the files: start counts the ids of all documents before it."""
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     bases = manifest.select("part", F.coalesce(F.sum("tokens").over(w), F.lit(0)).alias("base"))
-    files = manifest.repartition(F.col("file"))
+    files = manifest.repartition(max(1, min(manifest.count(), 10_000)), "file")  # a number, so that tiny rows aren't put together
     rows = files.select("part", "file").mapInArrow(_read(path), "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
     return rows.join(small_side(bases), "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -1,23 +1,27 @@
-"""Encoding of whole texts with the tokenizers library at a few tokens a microsecond: chunks between spaces are encoded once."""
+"""Encoding of whole texts with the tokenizers library, column-wise: each distinct chunk between spaces is encoded once."""
 
 from __future__ import annotations
 
-import re
+import functools
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-_KEPT = 500_000
-_ODD = re.compile(r"\s | \s| $|<\|")
-_MARK = "\x01"
+_KEPT = 1_000_000
+_START, _MARK = "\x03", "\x01"
+#: Texts that are encoded whole: white space beside white space or at the end, white space other than space and line feed, marks of special tokens, the characters used as marks here.
+_ODD = "[\\x01\\x03\\t\\x0b\\f\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]|[ \\n]$|<\\|"
+_TAIL = ".,;:!?"
 
 
 class ChunkEncoder:
     """Ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
 
-    Both supported pre-tokenizers break a text before each single space (byte-level) or at each space (word ends), so the
-    pieces between spaces can be encoded alone and remembered. Texts with other white space beside a space, or with
-    the marks of special tokens, are encoded whole. Unknown pieces of many texts are encoded in one call.
+    Both kinds of pre-tokenizer break a text before each single space and around each single line feed (byte-level) or at
+    all white space (word ends), and between a letter and punctuation, so chunks can be encoded alone and remembered. Odd
+    texts are encoded whole. The ids of a batch are gathered by Arrow, not word by word in Python.
     """
 
     def __init__(self, path: str):
@@ -26,60 +30,109 @@ class ChunkEncoder:
         self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         names = [self.tok.id_to_token(i) or "" for i in range(n)]
         self.leads = np.array([x.startswith("Ġ") for x in names])
-        self.spaced = bool(self.leads.any())  # byte-level: a token at the start of a word holds the space
-        mark = self._ids(_MARK)
-        self.mark = mark[0] if not self.spaced and len(mark) == 1 else None
+        self.ends = np.array([x.endswith("</w>") for x in names])
+        self.spaced = not self.ends.any()  # byte-level: a token at the start of a word holds the space
+        feed, mark = self._ids("\n"), self._ids(_MARK)
+        self.feed = int(feed[0]) if len(feed) == 1 else None
+        self.mark = int(mark[0]) if len(mark) == 1 else None
         self.known: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype)
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _learn(self, new: list[str]) -> None:
-        known, clean = self.known, [x for x in new if x and _MARK not in x]
-        for i in range(0, len(clean), 4096):
-            some = clean[i : i + 4096]
-            if self.spaced:
-                ids = self._ids(" " + " ".join(some))
-                cuts = np.flatnonzero(self.leads[ids])
-                runs = np.split(ids, cuts[1:]) if len(cuts) == len(some) else None
-            elif self.mark is not None:
-                ids = self._ids(f" {_MARK} ".join(some))
-                cuts = np.flatnonzero(ids == self.mark)
-                runs = [r if j == 0 else r[1:] for j, r in enumerate(np.split(ids, cuts))] if len(cuts) == len(some) - 1 else None
-            else:
-                runs = None
-            if runs is None:
-                runs = [self._ids(" " + x if self.spaced else x) for x in some]
-            known.update(zip(some, (r.tobytes() for r in runs), strict=True))
-        for x in set(new).difference(known):
-            known[x] = self._ids(" " + x if self.spaced else x).tobytes() if x else b""
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > _KEPT:
-            self.known.clear()
-        if len(self.heads) > _KEPT:
-            self.heads.clear()
-        known, heads, parts = self.known, self.heads, []
-        for t in texts:
-            if "<|" in t or self.spaced and _ODD.search(t):
-                parts.append(None)
+    def _runs(self, chunks: list[str], glue: str, cut: np.ndarray | int | None, lead: str = "") -> list[bytes]:
+        """Ids of each chunk. cut: which ids begin a chunk, or (ends) finish one, or the id of the glue."""
+        out: list[bytes] = []
+        for i in range(0, len(chunks), 512):
+            some = chunks[i : i + 512]
+            ids, size = self._ids(lead + glue.join(some)), self.dtype.itemsize
+            raw = ids.tobytes()
+            if cut is self.leads:
+                a = np.flatnonzero(cut[ids])
+                begin, end, ok = a, np.append(a[1:], len(ids)), len(a) == len(some) and (not len(a) or a[0] == 0)
+            elif cut is self.ends:
+                a = np.flatnonzero(cut[ids]) + 1
+                begin, end, ok = np.concatenate(([0], a[:-1])), a, len(a) == len(some)
+            elif cut is not None:
+                a = np.flatnonzero(ids == cut)
+                begin, end, ok = np.concatenate(([0], a + 1)), np.append(a, len(ids)), len(a) == len(some) - 1
             else:
-                parts.append(t.split(" ") if self.spaced else t.replace("\n", " ").split(" "))
-        new: set[str] = set()
-        for p in parts:
-            if p is not None:
-                new.update(p[1:] if self.spaced else p)
-        if missing := list(new.difference(known)):
-            self._learn(missing)
-        out = []
-        for t, p in zip(texts, parts, strict=True):
-            if p is None:
-                out.append(self._ids(t))
-            elif self.spaced:
-                if (head := heads.get(p[0])) is None:
-                    head = heads[p[0]] = self._ids(p[0]).tobytes()
-                out.append(np.frombuffer(head + b"".join(map(known.__getitem__, p[1:])), self.dtype))
+                ok = False
+            if ok:
+                out += [raw[x:y] for x, y in zip((begin * size).tolist(), (end * size).tolist(), strict=True)]
             else:
-                out.append(np.frombuffer(b"".join(map(known.__getitem__, p)), self.dtype))
+                out += [self._ids(lead + x).tobytes() for x in some]
         return out
+
+    def _learn(self, new: list[str]) -> None:
+        known, todo, later = self.known, [], []
+        for x in new:
+            base = x.rstrip(_TAIL)
+            if base != x and base[-1:].isalpha():
+                later.append((x, base, x[len(base) :]))
+                todo.append(base)
+            else:
+                todo.append(x)
+        todo = [x for x in dict.fromkeys(todo) if x not in known]
+        if self.spaced:
+            plain = [x for x in todo if x and x[0] not in "\x03\n"]
+            bare = [x for x in todo if x and x[0] in "\x03\n"]
+            known.update(zip(plain, self._runs(plain, " ", self.leads, " "), strict=True))
+            feed = self._ids("\n").tobytes()
+            bodies = sorted({x[1:] for x in bare} - {""})
+            own = dict(zip(bodies, self._runs(bodies, "\n", self.feed), strict=True)) | {"": b""}
+            known.update((x, (feed if x[0] == "\n" else b"") + own[x[1:]]) for x in bare)
+        else:
+            words, mixed = [x for x in todo if x.isalpha()], [x for x in todo if x and not x.isalpha()]
+            known.update(zip(words, self._runs(words, " ", self.ends), strict=True))
+            known.update(zip(mixed, self._runs(mixed, f" {_MARK} ", self.mark), strict=True))
+        known.setdefault("", b"")
+        for x, base, tail in later:
+            if (t := known.get(_START + tail)) is None:
+                t = known[_START + tail] = self._ids(tail).tobytes()
+            known[x] = known[base] + t
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after another, and where each text's begin (one more entry than texts). A null text is empty."""
+        known = self.known
+        if len(known) > _KEPT:
+            known.clear()
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD if self.spaced else "<\\||[\\x01\\x03]").to_numpy(zero_copy_only=False))
+        if self.spaced:
+            ready = pc.replace_substring(pc.binary_join_element_wise(pa.scalar(_START, pa.large_string()), texts, pa.scalar("", pa.large_string())), "\n", " \n")
+        else:
+            ready = pc.replace_substring(texts, "\n", " ")
+        if len(odd):
+            mask = np.zeros(len(texts), bool)
+            mask[odd] = True
+            ready = pc.if_else(pa.array(mask), pa.scalar(_START if self.spaced else "", pa.large_string()), ready)
+        split = pc.split_pattern(ready, " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        ids = list(map(known.get, words))
+        if None in ids:
+            self._learn([w for w, v in zip(words, ids, strict=True) if v is None])
+            ids = list(map(known.__getitem__, words))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        pool = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size)))), pa.array(np.frombuffer(b"".join(ids), self.dtype)))
+        flat = pool.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(size[at])))
+        bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        if len(odd):  # the ids of odd texts come from elsewhere
+            parts, last = [], 0
+            grown = np.zeros(len(texts) + 1, np.int64)
+            for i in odd:
+                own = self._ids(texts[int(i)].as_py())
+                parts += [flat[last : bounds[i]], own]
+                last = bounds[i]
+                grown[i + 1] = len(own)
+            flat, bounds = np.concatenate([*parts, flat[last:]]), bounds + np.cumsum(grown)
+        return flat, bounds
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> ChunkEncoder:
+    """The worker process's own encoder, kept from task to task."""
+    return ChunkEncoder(path)
