@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -34,6 +35,15 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder where driver and executors can share files: in spark.checkpoint.dir, else (tests) a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
+
+
 def session(master: str = "local[*]", **conf: str) -> SparkSession:
     """A session with SETTINGS; conf uses underscores for dots."""
     b = SparkSession.builder.master(master).appName("tidemark")
