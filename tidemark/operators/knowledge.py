@@ -128,13 +128,19 @@ def transitions(sections: DataFrame) -> DataFrame:
 SYNONYMS = {"left": "port", "right": "starboard", "stbd": "starboard"}
 
 
+def _swapped(a: Column, b: Column) -> Column:
+    """Whether two adjacent letters of a, exchanged, give b."""
+    at = F.sequence(F.lit(1), F.length(a) - 1)
+    return (F.length(a) == F.length(b)) & F.exists(at, lambda i: F.concat(F.substr(a, F.lit(1), i - 1), F.substr(a, i + 1, F.lit(1)), F.substr(a, i, F.lit(1)), F.substr(a, i + 2)) == b)
+
+
 def resolve(phrase: str, columns: DataFrame, k: int = 5) -> DataFrame:
     """(path, score): columns(path, description, unit) ranked for a phrase: BM25-like rarity of shared words, synonyms applied, one-edit typos of unknown words of four letters or more repaired if only one word is that close."""
     words = columns.select("path", F.explode(F.array_distinct(tokens(F.concat_ws(" ", F.regexp_replace("path", "([a-z])([A-Z])", "$1 $2"), F.coalesce("description", F.lit("")), F.coalesce("unit", F.lit("")))))).alias("term")).distinct()
     spark, n = columns.sparkSession, columns.count()
     asked = spark.createDataFrame([(SYNONYMS.get(w, w),) for w in dict.fromkeys(phrase.lower().split())] or [("",)], "asked string")
     vocab = words.select("term").distinct()
-    near = asked.join(vocab, asked.asked == vocab.term, "left_anti").filter(F.length("asked") >= 4).join(vocab, F.levenshtein("asked", "term") <= 1)
+    near = asked.join(vocab, asked.asked == vocab.term, "left_anti").filter(F.length("asked") >= 4).join(vocab, (F.levenshtein("asked", "term") <= 1) | _swapped(F.col("asked"), F.col("term")))  # a few words of a phrase
     fixed = near.groupBy("asked").agg(F.min("term").alias("term"), F.count("*").alias("c")).filter("c = 1").select("term")
     terms = asked.join(vocab, asked.asked == vocab.term).select("term").unionByName(fixed).distinct()
     df = words.groupBy("term").agg(F.log(1 + (F.lit(float(n)) - F.count("*") + 0.5) / (F.count("*") + 0.5)).alias("idf"))
