@@ -65,18 +65,19 @@ def merged(tree: DataFrame) -> DataFrame:
     parts = F.split("template", "/")
     rows = rows.withColumn("first", F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).withColumn("rest", F.concat_ws("/", F.slice(parts, 3, F.greatest(F.size(parts), F.lit(1)))))
     rows = rows.withColumn("rate", (F.col("blocked") + 0.5) / (F.col("labelled") + 1)).withColumn("spread", F.col("rate") * (1 - F.col("rate")) / (F.col("labelled") + 1))
-    w = Window.partitionBy("host", "rest").orderBy("rate", "first")  # at most FAN + 1 siblings
+    rows = rows.withColumn("known", F.col("labelled") > 0)  # siblings without labels are no bridge between others
+    w = Window.partitionBy("host", "rest", "known").orderBy("rate", "first")  # at most FAN + 1 siblings
     apart = (F.col("rate") - F.lag("rate").over(w)) > Z * F.sqrt(F.col("spread") + F.lag("spread").over(w))
     rows = rows.withColumn("cut", F.when(apart, 1).otherwise(0)).withColumn("branch", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    b = Window.partitionBy("host", "rest", "branch")
+    b = Window.partitionBy("host", "rest", "known", "branch")
     return rows.select("host", "template", "rest", "branch", F.sum("labelled").over(b).alias("labelled"), F.sum("blocked").over(b).alias("blocked"))
 
 
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """Each row of pages(page_id, url) with host, path, rule, verdict, template and purity.
 
-    The rule's verdict stands; other urls get `block` if the purity of their merged template is at least one half, else
-    `allow`. Without any label the purity is 0. Null, empty and odd urls have an empty host or path and are judged as such.
+    The rule's verdict stands; other urls get `block` if their merged template has labels and a purity of at least one
+    half, else `allow`; the purity of one without labels is its host's. Null, empty and odd urls have an empty host or path and are judged as such.
     """
     host, path = host_and_path()
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -89,9 +90,9 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     hosts = counts.groupBy("host").agg(((F.sum("blocked") + F.lit(HOST_PRIOR * base)) / (F.sum("labelled") + HOST_PRIOR)).alias("host_rate"))
     branches = merged(tree).join(hosts, "host")
     purity = (F.col("blocked") + TEMPLATE_PRIOR * F.col("host_rate")) / (F.col("labelled") + TEMPLATE_PRIOR)
-    verdicts = stored(tree.select("host", "shape", "template").join(branches.select("host", "template", purity.alias("purity")), ["host", "template"]), "templates")
+    verdicts = stored(tree.select("host", "shape", "template").join(branches.select("host", "template", purity.alias("purity"), (F.col("labelled") > 0).alias("known")), ["host", "template"]), "templates")
     out = rows.join(verdicts, ["host", "shape"], "left")
-    verdict = F.coalesce("said", F.when(F.col("purity") >= 0.5, "block").otherwise("allow"))
+    verdict = F.coalesce("said", F.when(F.col("known") & (F.col("purity") >= 0.5), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", F.round("purity", 6).alias("purity"))
 
 
