@@ -1,9 +1,9 @@
 """Best-fit packing with bound-certified repacking (operator 8).
 
 Pieces of at most `capacity` tokens are dealt to cells of bounded size; every cell is packed by best fit decreasing. A
-lower bound from dual feasible functions certifies cells whose bin count is the least possible. In the other cells the
-bins that aren't full give up their pieces; groups of cells exchange these and are packed again, round after round, with
-fewer cells each time, until the sum of bins meets the bound or a round wins nothing.
+lower bound from dual feasible functions certifies cells whose bin count is the least possible; they keep all bins but the
+emptiest. The other cells exchange their pieces: these are dealt to fewer, larger cells (still of bounded size) and packed
+again, round after round, until nothing is open or a round wins nothing.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stored
 from tidemark.llm.tokens import encoder
 
-#: Pieces of a cell on average; a cell's arrays take a few MB.
-CELL = 50_000
-#: Cells that pool their open bins in a round, and rounds at most.
-POOL, ROUNDS = 8, 12
+#: Pieces of a cell on average (a cell's arrays take a few MB), and how many times that once cells exchange them.
+CELL, POOL = 50_000, 8
+#: Rounds at most.
+ROUNDS = 12
 
 
 def _pieces(vocabulary: str, end_id: int, capacity: int):
@@ -94,9 +94,10 @@ def _pack(capacity: int):
         t, length = t.take(pa.array(key)), length[key]
         b = best_fit_decreasing(length, capacity)
         n = int(b.max(initial=-1)) + 1
-        used = np.bincount(b, weights=length, minlength=n).astype(np.int64)
         gap = n > lower_bound(length, capacity)
-        open_ = gap & (used[b] < capacity)
+        used = np.bincount(b, weights=length, minlength=n)
+        # a certified cell still gives up its emptiest bin, so that what cells lose by rounding comes together
+        open_ = np.full(len(b), gap) | ((b == used.argmin()) & (used.min() < capacity)) if n else np.zeros(0, bool)
         # the place in a bin: pieces of a bin follow one another in the order of the table
         by = np.argsort(b, kind="stable")
         before = np.cumsum(length[by]) - length[by]
@@ -104,7 +105,7 @@ def _pack(capacity: int):
         base = np.maximum.accumulate(np.where(first, before, 0)) if len(by) else before
         offset = np.empty(len(b), np.int64)
         offset[by] = before - base
-        return t.append_column("bin", pa.array(b)).append_column("offset", pa.array(offset)).append_column("open", pa.array(open_)).append_column("gap", pa.array(np.full(len(b), gap)))
+        return t.append_column("bin", pa.array(b)).append_column("offset", pa.array(offset)).append_column("open", pa.array(open_))
 
     return run
 
@@ -131,7 +132,7 @@ def pack(pieces: DataFrame, capacity: int, cell: int = CELL, pool: int = POOL, r
     done, before, held = [full], None, 0
     for r in range(1, rounds + 1):
         dealt = loose.select("row", "doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("row", F.lit(r)), F.lit(cells)).cast("int").alias("cell"))
-        packed = stored(dealt.groupBy("cell").applyInArrow(_pack(capacity), f"{_FIELDS}, cell int, bin long, offset long, open boolean, gap boolean"), "packed").withColumn("round", F.lit(r))
+        packed = stored(dealt.groupBy("cell").applyInArrow(_pack(capacity), f"{_FIELDS}, cell int, bin long, offset long, open boolean"), "packed").withColumn("round", F.lit(r))
         bins, n_open, left = packed.agg(F.count_if(F.col("offset") == 0), F.count_if((F.col("offset") == 0) & F.col("open")), F.count_if(F.col("open"))).first()
         if before is not None and bins >= held:
             done.append(before.filter(F.col("open")))  # the exchange won nothing: the bins stay as they were
@@ -141,7 +142,7 @@ def pack(pieces: DataFrame, capacity: int, cell: int = CELL, pool: int = POOL, r
             done.append(packed.filter(F.col("open")))
             break
         before, held, loose = packed, n_open, packed.filter(F.col("open"))
-        cells = max(1, -(-left // cell), min(cells - 1, -(-cells // pool)) if left <= cell * pool else 0)
+        cells = max(1, -(-left // (cell * pool)))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "offset", "round", "cell", "bin"]
     out = done[0].select(*columns)
     for d in done[1:]:
