@@ -68,7 +68,7 @@ class ChunkEncoder:
         known, todo, later = self.known, [], []
         for x in new:
             base = x.rstrip(_TAIL)
-            if base != x and base[-1:].isalpha():
+            if base != x and base[-1:].isalpha() and base[-1] != "İ":  # whose lower case ends in a mark, which joins punctuation
                 later.append((x, base, x[len(base) :]))
                 todo.append(base)
             else:
