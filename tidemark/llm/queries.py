@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import oracles
 from tidemark.llm.common import table
 from tidemark.llm.decontam import contamination
 from tidemark.llm.langid import language_digests
@@ -77,4 +78,11 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_decontamination, op4_pii_pseudonyms, op5_bit_plane_tokens, op6_language_id, op7_warc, op8_best_fit_packing, op9_ngram_jaccard_join, op10_virtual_slots)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_exact_topk": oracles.TOPK,
+    "op2_url_filter": oracles.url_filter(RULES),
+    "op3_decontamination": oracles.DECONTAMINATION,
+    "op7_warc": oracles.WARC,
+    "op9_ngram_jaccard_join": oracles.JACCARD,
+    "op10_virtual_slots": oracles.SHARDING,
+}
