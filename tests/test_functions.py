@@ -171,3 +171,48 @@ def test_readers(spark):
     assert sorted(r.p for r in got) == ["keep.tmp", "src/x.c"]
     r = knowledge.resolve("stbd depht", spark.createDataFrame([("navigation.depth", "water", "m"), ("propulsion.starboard.rpm", None, "rpm")], "path string, description string, unit string"))
     assert {x.path for x in r.collect()} == {"navigation.depth", "propulsion.starboard.rpm"}
+
+
+def test_sinks(spark):
+    from tidemark.sources import sinks
+
+    df = spark.createDataFrame([(1, "a|b"), (2, None), (3, "c")], "id int, x string").orderBy("id")
+    assert sinks.shown(df, rows=2) == ("| id | x |\n|---|---|\n| 1 | a\\|b |\n| 2 |  |", True)
+    assert sinks.shown(df, "csv", 5) == ("id,x\n1,a|b\n2,\n3,c", False)
+    assert sinks.shown(df, "json", 5, 30)[1]
+    a, b = sinks.shard_manifest(spark.createDataFrame([("e", 1, 2.0), ("e", 70000, 1.0)], "entity string, bucket long, v double")).orderBy("shard").collect()
+    assert (a.shard, a.version, b.shard) == (0, 1, 1) and a.hash != b.hash
+    assert "PushedFilters" in sinks.measured(spark.read.parquet("/root/testdata/sf0.001/orders.parquet").filter("o_orderkey > 5"))
+
+
+def test_hybrid_edges(spark):
+    from tidemark.operators import hybrid
+
+    s = spark.createDataFrame([(1, "T", "bilge pump alarm", "a"), (2, "U", "pump", None), (3, "V", "wind", "b")], "id long, title string, body string, tag string")
+    found, warning = hybrid.hybrid_search(s, "tag:a,b", metadata=("tag",))
+    assert [(r.id, r.score) for r in found.collect()] == [(1, 0.0), (3, 0.0)] and warning is None
+    with pytest.raises(ValueError):
+        hybrid.hybrid_search(s, "pump", mode="hybrid_strict")
+    assert [r.id for r in hybrid.hybrid_search(s, "pump -alarm -tag:b", metadata=("tag",))[0].collect()] == [2]
+    assert hybrid.hybrid_search(s, "-pump")[0].count() == 0
+    assert re.fullmatch(hybrid.one_edit_pattern("pump"), "pmup") and re.fullmatch(hybrid.one_edit_pattern("pump"), "pumps") and not re.fullmatch(hybrid.one_edit_pattern("pump"), "pimps")
+
+
+def test_live_counters(spark, tmp_path):
+    from tidemark.streaming import live
+
+    rows = [("a", 1, 0, 2.0, False), ("a", 2, 0, 5.0, False), ("a", 2, 0, 5.0, False), ("a", 3, 3, 1.0, False), ("a", 4, 3, 3.0, False), ("a", 5, 3, 2.0, False)]
+    df = spark.createDataFrame(rows, "series string, t long, s long, value double, delta boolean").select("series", F.timestamp_seconds("t").alias("ts"), F.timestamp_seconds("s").alias("start"), "value", "delta")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = live.counter_totals(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select(F.unix_seconds("ts").alias("t"), "total").collect()
+    assert sorted((r.t, r.total) for r in got if r.total is not None) == [(1, 2), (2, 5), (3, 6), (4, 8)]
+    assert [r.t for r in got if r.total is None] == [5]
+
+
+def test_otlp_logs(spark):
+    line = '{"resourceLogs":[{"resource":{"attributes":[{"key":"host.name","value":{"stringValue":"h"}}]},"scopeLogs":[{"logRecords":[{"timeUnixNano":"1700000000500000000","eventName":"e","body":{"stringValue":"text"}},{"observedTimeUnixNano":"1700000001000000000","body":{"stringValue":"more"}}]}]}]}'
+    got = readers.otlp_logs(spark.createDataFrame([(line,)], "value string")).orderBy("ts_start").collect()
+    assert [(r.entity, r.kind, r.title, r.body) for r in got] == [("otel.urn:h", "logbook", "e", "text"), ("otel.urn:h", "logbook", "log", "more")] and len({r.id for r in got}) == 2
