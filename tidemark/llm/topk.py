@@ -23,8 +23,11 @@ SAMPLE, PIVOTS, RINGS, BLOCK, QUERIES = 4096, 32, 8, 4096, 2048
 _EXACT32, _EXACT64 = 1 << 24, 1 << 53
 
 
-def _rows(batch: pa.RecordBatch, column: str, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.int64).reshape(-1, dim)
+def _rows(table, column: str, dim: int) -> np.ndarray:
+    """Packed vectors of a batch or table as 64-bit integers; their width follows from the bytes."""
+    raw = table.column(column).to_pylist()
+    width = len(raw[0]) // dim if raw else 8
+    return np.frombuffer(b"".join(raw), f"<i{width}").astype(np.int64).reshape(-1, dim)
 
 
 def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -52,14 +55,14 @@ def integer_vectors(embeddings: DataFrame, scale: int = 64) -> DataFrame:
     return rows.select("vec_id", scaled.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _pack(dim: int):
-    """Rows (vec_id, v) to (vec_id, x): components as bytes, shorter vectors filled up with zeros."""
+def _pack(dim: int, width: int):
+    """Rows (vec_id, v) to (vec_id, x): components as integers of `width` bytes, shorter vectors filled up with zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for v in batch.column("v").to_pylist():
-                x = np.zeros(dim, np.int64)
+                x = np.zeros(dim, f"<i{width}")
                 x[: len(v)] = v
                 out.append(x.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary())], ["vec_id", "x"])
@@ -118,7 +121,7 @@ def _first_look(every: int, k: int, dim: int):
 
     def run(t: pa.Table) -> pa.Table:
         ids = t.column("vec_id").to_numpy()
-        x = np.frombuffer(b"".join(t.column("x").to_pylist()), np.int64).reshape(-1, dim)
+        x = _rows(t, "x", dim)
         at = np.flatnonzero(ids % every == 0)
         low = []
         for part in np.array_split(at, max(1, len(at) // 256 + 1)):
@@ -164,8 +167,8 @@ def _search(k: int, dim: int):
             far = block.column("far").to_numpy()
             order = np.argsort(far, kind="stable")
             far, ids = far[order], block.column("vec_id").to_numpy()[order]
-            x = np.frombuffer(b"".join(block.column("x").to_pylist()), np.int64).reshape(-1, dim)[order]
-            q = np.frombuffer(b"".join(queries.column("x").to_pylist()), np.int64).reshape(-1, dim)
+            x = _rows(block, "x", dim)[order]
+            q = _rows(queries, "x", dim)
             names, d, radius = (queries.column(c).to_numpy() for c in ("query_id", "far", "radius"))
             low = np.array([-(1 << 63) if v is None else v for v in queries.column("low").to_pylist()], np.int64)
             begin, end = np.searchsorted(far, d - radius, "left"), np.searchsorted(far, d + radius, "right")
@@ -199,12 +202,14 @@ def top_k(embeddings: DataFrame, every: int = 20, k: int = 20, scale: int = 64,
     spark = embeddings.sparkSession
     vectors = stored(integer_vectors(embeddings, scale), "vectors")
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    dim, top = vectors.agg(F.max(F.size("v")), F.max(norm)).first()
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    dim, top, most = vectors.agg(F.max(F.size("v")), F.max(norm), F.max(largest)).first()
     if dim is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    packed = vectors.mapInArrow(_pack(dim), "vec_id long, x binary")
+    width = next(b for b in (1, 2, 4, 8) if most < 1 << 8 * b - 1)
+    packed = vectors.mapInArrow(_pack(dim, width), "vec_id long, x binary")
     sample = packed.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("x").collect()
-    lifted = _lift(np.frombuffer(b"".join(bytes(r.x) for r in sample), np.int64).reshape(-1, dim), top)
+    lifted = _lift(np.frombuffer(b"".join(bytes(r.x) for r in sample), f"<i{width}").reshape(-1, dim), top)
     centres = spark.sparkContext.broadcast(choose_pivots(lifted, pivots))
     keyed = stored(packed.mapInArrow(_keyed(centres, top, dim), "vec_id long, pivot int, far double, x binary"), "keyed")
 
@@ -219,11 +224,11 @@ def top_k(embeddings: DataFrame, every: int = 20, k: int = 20, scale: int = 64,
 
     looked = stored(index.groupBy("cell", "block").applyInArrow(_first_look(every, k, dim), "query_id long, x binary, low long"), "queries")
     wanted = looked.mapInArrow(_reach(centres, cells, top, dim), "cell int, block int, query_id long, x binary, far double, radius double, low long")
-    # many queries of one block of vectors are dealt to several tasks; the block goes to each of them
+    # many queries of one block of vectors are dealt to several tasks; the block goes to those that have any
     deals = max(1, -(-looked.count() // QUERIES))
-    wanted = wanted.withColumn("deal", F.pmod(F.xxhash64("query_id"), F.lit(deals)).cast("int"))
-    rows = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"))
-    found = wanted.groupBy("cell", "block", "deal").cogroup(rows.groupBy("cell", "block", "deal")).applyInArrow(_search(k, dim), "query_id long, vec_id long, score long")
+    wanted = stored(wanted.withColumn("deal", F.pmod(F.xxhash64("query_id"), F.lit(deals)).cast("int")), "wanted")
+    rows = index.join(wanted.select("cell", "block", F.col("deal").alias("dealt")).distinct(), ["cell", "block"])
+    found = wanted.groupBy("cell", "block", "deal").cogroup(rows.groupBy("cell", "block", "dealt")).applyInArrow(_search(k, dim), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     discard(vectors)
