@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,10 +63,28 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files that no plan refers to any more: it does so when the driver's JVM collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The side marked for broadcast if it has at most `limit` rows; otherwise as it is, for a shuffled join. Counts the rows: give a stored table."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def lean(run):
+    """A batch function that gives freed memory back to the system when its task ends: workers live on between tasks and stages."""
+
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where there is no glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return task
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

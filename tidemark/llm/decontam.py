@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import alnum_words, discard, small_side, stored
+from tidemark.llm.common import alnum_words, lean, small_side, stored
 
 #: Terms of a benchmark up to which they are sent to every task (about 100 bytes each); beyond, all terms are indexed.
 VOCABULARY = 300_000
@@ -99,7 +99,7 @@ class PositionalIndex:
 
     def __init__(self, documents: DataFrame, vocabulary=None, anchors=None, reach: int = 1):
         rows = documents.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-        forward = stored(rows.mapInArrow(_postings(vocabulary, anchors, reach), "doc_id long, mark long, n_words long, postings array<struct<term:string,positions:array<int>>>"), "forward")
+        forward = stored(rows.mapInArrow(lean(_postings(vocabulary, anchors, reach)), "doc_id long, mark long, n_words long, postings array<struct<term:string,positions:array<int>>>"), "forward")
         self.sizes = forward.select("doc_id", "mark", "n_words")
         flat = forward.select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("doc"), "mark", F.explode("postings").alias("p")).select("p.term", "doc", "mark", "p.positions").distinct()
         self.postings = stored(flat.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc"), "postings")
@@ -145,7 +145,7 @@ def proximity_matches(index: PositionalIndex, queries: DataFrame, frequency: Dat
 
 def term_frequencies(documents: DataFrame, vocabulary=None) -> DataFrame:
     """(term, docs): the number of documents that hold each term, over all documents."""
-    return documents.select("text").mapInArrow(_count_terms(vocabulary), "term string, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+    return documents.select("text").mapInArrow(lean(_count_terms(vocabulary)), "term string, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20) -> DataFrame:

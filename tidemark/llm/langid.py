@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import lean
+
 UNKNOWN = "und"
 #: Features; documents that weights are trained on at most (the bound of the sample), characters in a row of them handled at a time.
 FEATURES, SAMPLE, SPAN = 1 << 16, 4000, 1 << 20
@@ -158,7 +160,7 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
     No such document gives a model that knows no language.
     """
     learnable = documents.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    rows = learnable.select("text", "lang").mapInArrow(_document_frequencies, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect()  # a row for each feature and language at most
+    rows = learnable.select("text", "lang").mapInArrow(lean(_document_frequencies), "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect()  # a row for each feature and language at most
     langs = {r.lang: r.n for r in rows if r.feature < 0}
     if not langs:
         return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros(0), 1.0)
@@ -173,7 +175,7 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
     for lang in names:  # an expected 1.2 x each rows of the language; the limit below sets the bound
         share = min(1.0, 1.2 * each / langs[lang])
         chosen = chosen | (F.col("lang") == lang) & (F.abs(F.col("h") / float(span)) <= share)
-    picked = learnable.filter(chosen).mapInArrow(_examples, "lang string, h long, ids binary, shares binary").orderBy(F.abs("h"), "h").limit(sample).collect()
+    picked = learnable.filter(chosen).mapInArrow(lean(_examples), "lang string, h long, ids binary, shares binary").orderBy(F.abs("h"), "h").limit(sample).collect()
     examples = []
     for r in picked:
         ids = np.frombuffer(bytes(r.ids), np.int32)
@@ -197,7 +199,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], [*rest.schema.names, "__lang", "__score"])
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in documents.schema)
-    return documents.select("*", F.col("text").alias("__text")).mapInArrow(run, f"{fields}, __lang string, __score double")
+    return documents.select("*", F.col("text").alias("__text")).mapInArrow(lean(run), f"{fields}, __lang string, __score double")
 
 
 def language_digests(documents: DataFrame) -> DataFrame:

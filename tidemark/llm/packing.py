@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import lean, stored
 from tidemark.llm.tokens import encoder
 
 #: Pieces of a cell on average (a cell's arrays take a few MB), and how many times that once cells exchange them.
@@ -27,7 +27,7 @@ ROUNDS = 12
 
 def _pieces(vocabulary: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, 250_000)
         end = np.array([end_id], "<u4")
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
@@ -115,7 +115,7 @@ _FIELDS = "row long, doc_id long, piece int, start long, length long, ids_crc32
 
 def piece_table(documents: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents' ids and the end id, cut only where longer than capacity."""
-    return documents.select("doc_id", "text").mapInArrow(_pieces(vocabulary, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return documents.select("doc_id", "text").mapInArrow(lean(_pieces(vocabulary, end_id, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, capacity: int, cell: int = CELL, pool: int = POOL, rounds: int = ROUNDS) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch_path, small_side, stored
+from tidemark.llm.common import lean, scratch_path, small_side, stored
 from tidemark.llm.tokens import encoder
 
 MAGIC = b"TDP1"
@@ -178,7 +178,7 @@ def write_tokens(documents: DataFrame, vocabulary: str, end_id: int, path: str |
     spark = documents.sparkSession
     path = path or scratch_path(spark, "planes")
     ranged = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    manifest = stored(ranged.mapInArrow(_write(path, vocabulary, end_id, kind), "part int, file string, docs long, tokens long"), "manifest")
+    manifest = stored(ranged.mapInArrow(lean(_write(path, vocabulary, end_id, kind)), "part int, file string, docs long, tokens long"), "manifest")
     manifest._tidemark_root = path
     return manifest
 
@@ -188,7 +188,7 @@ def read_tokens(manifest: DataFrame, path: str) -> DataFrame:
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     bases = manifest.select("part", F.coalesce(F.sum("tokens").over(w), F.lit(0)).alias("base"))
     files = manifest.repartition(max(1, min(manifest.count(), 10_000)), "file")  # a number, so that tiny rows aren't put together
-    rows = files.select("part", "file").mapInArrow(_read(path), "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = files.select("part", "file").mapInArrow(lean(_read(path)), "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
     return rows.join(small_side(bases), "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 

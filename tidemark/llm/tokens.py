@@ -9,7 +9,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-_KEPT = 1_000_000
 _START, _MARK = "\x03", "\x01"
 #: Texts that are encoded whole: white space beside white space or at the end, white space other than space and line feed, marks of special tokens, the characters used as marks here.
 _ODD = "[\\x01\\x03\\t\\x0b\\f\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]|[ \\n]$|<\\|"
@@ -24,7 +23,8 @@ class ChunkEncoder:
     texts are encoded whole. The ids of a batch are gathered by Arrow, not word by word in Python.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = 500_000):
+        self.keep = keep
         self.tok = Tokenizer.from_file(path)
         n = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
@@ -95,7 +95,7 @@ class ChunkEncoder:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another, and where each text's begin (one more entry than texts). A null text is empty."""
         known = self.known
-        if len(known) > _KEPT:
+        if len(known) > self.keep:
             known.clear()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD if self.spaced else "<\\||[\\x01\\x03]").to_numpy(zero_copy_only=False))
@@ -133,6 +133,6 @@ class ChunkEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
-    """The worker process's own encoder, kept from task to task."""
-    return ChunkEncoder(path)
+def encoder(path: str, keep: int = 500_000) -> ChunkEncoder:
+    """The worker process's own encoder, kept from task to task; it forgets all chunks once it knows more than `keep`."""
+    return ChunkEncoder(path, keep)
