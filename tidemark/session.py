@@ -10,12 +10,13 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: Needed for right results (UTC clocks) or for plans that adapt to skew. Cluster sizes stay the cluster's business.
+#: Needed for right results (UTC clocks) for plans that adapt to skew, or for small batches of long texts. Cluster sizes stay the cluster's business.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.python.filterPushdown.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
 }
 
 ROOT = Path(__file__).resolve().parent.parent
