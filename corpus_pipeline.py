@@ -11,30 +11,36 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import decontam, langid, packing, parity_join, pii
 from tidemark.llm.common import stored, table
 from tidemark.llm.queries import KEY
+from tidemark.session import ready
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or whose language is less than even, go."""
+    ready(spark)
     return langid.keep_identified(docs, least=0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 5-word shingles at a Jaccard similarity of 0.8 or more, that of the smallest doc_id stays."""
+    ready(spark)
     return parity_join.keep_one(docs, ngram=5, p=80, q=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth or more of their words in 13-word windows of the benchmark go."""
+    ready(spark)
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), n=13, share=20)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Validated numbers and dates become keyed pseudonyms; every document stays."""
+    ready(spark)
     return pii.pseudonymised(docs, KEY).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2,048 tokens: a row for each piece of a document."""
+    ready(spark)
     return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
