@@ -271,6 +271,13 @@ def test_pseudonyms():
         assert sorted(image) == list(range(n)) and all(f.permute(y, n, "t", True) == i for i, y in enumerate(image))
 
 
+def test_pseudonyms_without_digits():
+    p, text = pii.Pseudonyms(b"k"), "Write to anna.smith@example.com today"
+    alone, kinds = p.replace(text)
+    assert kinds == ["email"] and "anna.smith" not in alone and p.replace(alone, back=True) == (text, ["email"])
+    assert p.replace(f"{text}, room 7") == (f"{alone}, room 7", ["email"])
+
+
 def test_pseudonym_edges(docs, empty):
     out = pii.pseudonymised(docs, b"k")
     assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == collections.Counter(TEXTS)

@@ -79,7 +79,8 @@ class Pseudonyms:
         ("secret", r"(?<!\w)(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}(?!\w)"),
     )
     FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS).replace(r"([-/])", "(?P<s1>[-/])").replace(r"\1", "(?P=s1)").replace(r"([./-])", "(?P<s2>[./-])").replace(r"\2", "(?P=s2)"))
-    ANY = re.compile(r"[0-9]")
+    #: What each kind has one of at least: a text with none holds no value.
+    ANY = re.compile(r"[\d@]")
 
     def __init__(self, key: bytes):
         self.feistel = Feistel(key)
