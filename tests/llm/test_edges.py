@@ -241,6 +241,25 @@ def test_language_edges(spark, docs, empty):
     assert kept.columns == docs.columns and not {3, 4, 5} & {r.doc_id for r in kept.collect()}
 
 
+@pytest.mark.parametrize("rare,others", [(40, [20] * 7), (6, [22] * 6 + [23])])
+def test_rare_languages_are_learned_from(spark, monkeypatch, rare, others):
+    """Eight languages of skewed counts: each gives an equal part of the sample, or all that it has."""
+    used = []
+    monkeypatch.setattr(langid, "train_ftrl", lambda examples, classes: used.extend(y for y, _, _ in examples) or (np.zeros((langid.FEATURES, classes)), np.zeros(classes)))
+    monkeypatch.setattr(langid, "held_out", lambda doc_id: F.lit(False))
+    rows = [(k * 10**6 + i, f"text {chr(97 + k)}", f"l{k}") for k in range(8) for i in range(rare if k == 3 else 1500)]
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 160 if rare == 40 else 161)
+    got, part = collections.Counter(used), lambda n: n - n // 5  # every fifth sets the temperature
+    assert got[3] == part(min(rare, 20)) and sorted(n for k, n in got.items() if k != 3) == sorted(map(part, others))
+
+
+def test_one_hash_of_many_rows(spark):
+    """Rows that repeat id and text lie all within or all beyond a share of the hashes."""
+    rows = [(1, f"text {c}", c) for c in "abcdefgh" for _ in range(300)]
+    learnable = spark.createDataFrame(rows, "doc_id long, text string, lang string").select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    assert collections.Counter(r.lang for r in langid._drawn(learnable, dict.fromkeys("abcdefgh", 300), 80)) == dict.fromkeys("abcdefgh", 10)
+
+
 def test_ftrl_is_sparse_and_right():
     rng = np.random.default_rng(5)
     examples = []

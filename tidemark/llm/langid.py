@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import lean
@@ -152,12 +153,40 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def equal_parts(langs: dict[str, int], sample: int) -> dict[str, int]:
+    """How many of each language's documents are drawn: `sample` in equal parts, what a language lacks going to the others; one at least."""
+    parts, left = {}, sample
+    for i, (lang, n) in enumerate(sorted(langs.items(), key=lambda x: (x[1], x[0]))):
+        parts[lang] = min(n, max(1, left // (len(langs) - i)))
+        left -= parts[lang]
+    return parts
+
+
+def _drawn(learnable: DataFrame, langs: dict[str, int], sample: int) -> list[Row]:
+    """(lang, rank, ids, shares): of each language the documents of the smallest |h|, as many as equal_parts says, in a mixed order."""
+
+    def draw(parts: dict[str, int], shares: dict[str, float]) -> list[Row]:
+        of = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])[F.col("lang")]
+        near = F.abs(F.col("h") / float(1 << 63))
+        found = learnable.filter(F.col("lang").isin(list(parts)) & (near <= of(shares))).mapInArrow(lean(_examples), "lang string, h long, ids binary, shares binary")
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(near, "h")))
+        return found.filter(F.col("rank") <= of(parts)).orderBy(F.xxhash64("h"), "h").select("lang", "rank", "ids", "shares").collect()
+
+    parts = equal_parts(langs, sample)
+    # Six standard deviations more than are wanted come within these shares, unless many rows repeat a hash.
+    drawn = draw(parts, {lang: min(1.0, (n + 6 * n**0.5 + 20) / langs[lang]) for lang, n in parts.items()})
+    got = Counter(r.lang for r in drawn)
+    if short := {lang: n for lang, n in parts.items() if got[lang] < n}:
+        drawn = [r for r in drawn if r.lang not in short] + draw(short, dict.fromkeys(short, 1.0))
+    return drawn
+
+
 def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from text and lang of documents(doc_id, text, lang) that aren't held out and have a lang.
 
-    Inverse document frequencies cover all of them; weights are fitted on at most `sample` (those of the smallest hashes
-    of id and text, with languages drawn in equal parts as far as they go) and every fifth of these sets the temperature.
-    No such document gives a model that knows no language.
+    Inverse document frequencies cover all of them; weights are fitted on at most `sample` (each language's of the
+    smallest hashes of id and text, with languages drawn in equal parts as far as they go, but one of each at least) and
+    every fifth of a language's sets the temperature. No such document gives a model that knows no language.
     """
     learnable = documents.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
     rows = learnable.select("text", "lang").mapInArrow(lean(_document_frequencies), "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect()  # a row for each feature and language at most
@@ -170,18 +199,11 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
             df[r.feature] = r.n
     names, total = sorted(langs), sum(langs.values())
     idf = np.log((1 + total) / (1 + df)) + 1
-    each, span = max(1, sample // len(names)), 1 << 63
-    chosen = F.lit(False)
-    for lang in names:  # an expected 1.2 x each rows of the language; the limit below sets the bound
-        share = min(1.0, 1.2 * each / langs[lang])
-        chosen = chosen | (F.col("lang") == lang) & (F.abs(F.col("h") / float(span)) <= share)
-    picked = learnable.filter(chosen).mapInArrow(lean(_examples), "lang string, h long, ids binary, shares binary").orderBy(F.abs("h"), "h").limit(sample).collect()
-    examples = []
-    for r in picked:
+    held, kept = [], []
+    for r in _drawn(learnable, langs, sample):
         ids = np.frombuffer(bytes(r.ids), np.int32)
-        examples.append((names.index(r.lang), ids, np.frombuffer(bytes(r.shares), np.float32) * idf[ids] * 10))
-    held, kept = examples[::5], [e for i, e in enumerate(examples) if i % 5]
-    weights, bias = train_ftrl(kept or held, len(names))
+        (kept if r["rank"] % 5 else held).append((names.index(r.lang), ids, np.frombuffer(bytes(r.shares), np.float32) * idf[ids] * 10))
+    weights, bias = train_ftrl(kept, len(names))
     logits = np.array([x @ weights[ids] + bias for _, ids, x in held])
     temperature = fit_temperature(logits, np.array([y for y, _, _ in held]))
     return Model(names, (weights * idf[:, None] * 10).astype(np.float32), bias, temperature)
