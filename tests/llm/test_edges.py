@@ -297,6 +297,30 @@ def test_pseudonyms_without_digits():
     assert p.replace(f"{text}, room 7") == (f"{alone}, room 7", ["email"])
 
 
+@pytest.mark.parametrize("key", [b"k", b"a", b"b", b"c"])
+def test_pseudonyms_beside_other_groups(key):
+    """The value gets the pseudonym that it has alone, whatever stands beside it, and comes back."""
+    p = pii.Pseudonyms(key)
+    card, iban = "4539 1488 0343 6467", "ES91 2100 0418 4502 0005 1332"
+    for value, around in [(card, "{} 123"), (card.replace(" ", ""), "{} 99 items"), (card, "order 12 {}"), (card, "AB12 {}"), (card, "{} {}"), (iban, "{} PAID"), (iban, "{} 12 PAID"), (iban, "{} 2024-02-29, {}"), ("378282246310005", "{} 1234"), ("3782 822463 10005", "7 {} 12")]:
+        text, n = around.format(value, value), around.count("{}")
+        new, kinds = p.replace(text)
+        alone, own = p.replace(value)
+        assert alone != value and kinds.count(own[0]) == n and new.count(alone) == n and p.replace(new, back=True)[0] == text
+
+
+def test_pseudonyms_of_runs_come_back():
+    """Groups at random, in which several readings overlap."""
+    rng, p, some = np.random.default_rng(8), pii.Pseudonyms(b"k"), 0
+    for _ in range(3000):
+        groups = ["".join(rng.choice(list("0123456789"), n)) for n in rng.choice([2, 3, 4, 4, 4, 5, 6, 8, 13, 16], rng.integers(1, 9))]
+        text = rng.choice(["", "AB12 ", "DE89 ", "on 2024-02-29 "]) + "".join(g + rng.choice([" ", " ", "-", "  ", " x "]) for g in groups)
+        new, kinds = p.replace(text)
+        some += len(kinds)
+        assert p.replace(new, back=True) == (text, kinds), text
+    assert some > 1000
+
+
 def test_pseudonym_edges(docs, empty):
     out = pii.pseudonymised(docs, b"k")
     assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == collections.Counter(TEXTS)

@@ -58,6 +58,40 @@ def _iban_ok(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+#: Letters and digits of an IBAN by country, as registered.
+IBAN_LENGTHS = {
+    s[:2]: int(s[2:])
+    for s in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 "
+        "LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
+#: Groups of digits that cards are printed in, besides one group.
+CARD_GROUPS = ([4, 4, 4, 4], [4, 6, 5])
+
+
+def card_part(value: str) -> tuple[int, int] | None:
+    """Where the card number in a run of digit groups lies, if any does: printed groups first, then the longest, then the first."""
+    groups, found = [m.span() for m in re.finditer(r"\d+", value)], []
+    for i in range(len(groups)):
+        for j in range(i, len(groups)):
+            sizes = [b - a for a, b in groups[i : j + 1]]
+            plain = "".join(value[a:b] for a, b in groups[i : j + 1])
+            if 13 <= len(plain) <= 19 and luhn_digit(plain[:-1]) == plain[-1]:
+                found.append((len(sizes) > 1 and sizes not in CARD_GROUPS, -len(plain), groups[i][0], groups[j][1]))
+    return min(found)[2:] if found else None
+
+
+def iban_part(value: str) -> tuple[int, int] | None:
+    """Where the IBAN that value begins with ends, if it does: at the country's length first, then the longest."""
+    ends = [m.end() for m in re.finditer(r"[A-Z0-9]+", value)]
+    lengths = {e: len(value[:e].replace(" ", "")) for e in ends}
+    for e in sorted(ends, key=lambda e: (lengths[e] != IBAN_LENGTHS.get(value[:2]), -e)):
+        if _iban_ok(value[:e].replace(" ", "")):
+            return 0, e
+    return None
+
+
 def _refill(shape: str, chars: str) -> str:
     """Letters and digits of shape replaced, in order; all else stays."""
     it = iter(chars)
@@ -82,6 +116,9 @@ class Pseudonyms:
     #: What each kind has one of at least: a text with none holds no value.
     ANY = re.compile(r"[\d@]")
 
+    #: Kinds whose matches can hold neighbours of the value, and where the value lies in one.
+    PARTS = {"card": card_part, "iban": iban_part}
+
     def __init__(self, key: bytes):
         self.feistel = Feistel(key)
         self.of = functools.lru_cache(maxsize=1 << 16)(self._of)
@@ -190,16 +227,26 @@ class Pseudonyms:
         """The text with pseudonyms, and the kinds replaced, in order. Runs of digits that no kind accepts stay."""
         if not text or not self.ANY.search(text):
             return text, []
-        kinds: list[str] = []
-
-        def put(m: re.Match) -> str:
-            new = self.of(m.lastgroup if m.lastgroup not in ("s1", "s2") else next(k for k, _ in self.KINDS if m[k]), m[0], back)
-            if new is None:
-                return m[0]
-            kinds.append(next(k for k, _ in self.KINDS if m[k] is not None))
-            return new
-
-        return self.FIND.sub(put, text), kinds
+        kinds, out, at, done, failed = [], [], 0, 0, []
+        while m := self.FIND.search(text, at):
+            kind = next(k for k, _ in self.KINDS if m[k] is not None)
+            part = self.PARTS.get(kind, lambda value: (0, len(value)))
+            i, j = (m.start() + x for x in part(m[0]) or (0, 0))
+            new = self.of(kind, text[i:j], back) if i < j else None
+            if new is None:  # a run of groups that fails as a whole and in parts may overlap a value that begins later
+                at = m.end()
+                if kind in self.PARTS:
+                    failed.append((m.start(), m.end(), part))
+                    at = m.start() + re.match("[A-Z0-9]+|\\d+", m[0]).end()
+                continue
+            failed = [f for f in failed if f[1] > i]
+            # Walked until the text is read in the same parts as before, so that values can be given back.
+            while (kind in self.PARTS and part(m[0][: i - m.start()] + new + text[j : m.end()]) != (i - m.start(), j - m.start())) or any(p((text[a:i] + new + text[j : max(b, j)])[: b - a]) for a, b, p in failed):
+                new = self.of(kind, new, back)
+            kinds.append(kind)
+            out += text[done:i], new
+            at = done = j
+        return "".join(out) + text[done:], kinds
 
 
 def pseudonymised(documents: DataFrame, key: bytes, back: bool = False) -> DataFrame:
