@@ -52,6 +52,15 @@ def test_jaccard_edges(docs, empty):
     assert parity_join.jaccard_components(empty).count() == 0 and parity_join.keep_one(empty).count() == 0
 
 
+def test_keep_one_of_each_text(spark):
+    """Rows that share a doc_id, or have none, with unlike, alike and equal texts."""
+    a, b, c, d, e, f, g = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcdefg")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, d), (None, e), (None, e), (None, f"{e} more"), (None, a), (4, None), (4, None), (4, f), (5, g), (5, f"{g} more"), (None, ""), (None, "")]
+    got = [(r.doc_id, r.text) for r in parity_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    either = [(i, t.removesuffix(" more") if t else t) for i, t in got]
+    assert collections.Counter(either) == collections.Counter([(1, a), (2, b), (3, c), (3, d), (None, e), (None, a), (4, None), (4, f), (5, g), (None, "")]) and set(got) <= set(rows)
+
+
 @pytest.mark.parametrize("p,ngram", [(80, 5), (90, 3), (60, 1)])
 def test_jaccard_near_the_threshold(spark, p, ngram):
     """Chains of texts that differ in a few words, over sizes from 5 to 2,000 and a crowd that shares most words, against brute force."""

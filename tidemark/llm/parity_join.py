@@ -211,9 +211,10 @@ def _slim(ngram: int):
         for batch in batches:
             sets = [shingle(text) for text in _texts(batch)]
             marks = [_signature(s) if len(s) else (None, None) for s in sets]
+            own = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64())],
-                ["doc_id", "n_shingles", "sig", "sig2"],
+                [*map(batch.column, own), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64())],
+                [*own, "n_shingles", "sig", "sig2"],
             )
 
     return run
@@ -331,13 +332,14 @@ def _chunked(members: DataFrame) -> DataFrame:
     return members.withColumn("chunk", ((F.row_number().over(w) - 1) / CHUNK).cast("int")).join(sizes, "bucket")
 
 
-def jaccard_components(documents: DataFrame, ngram: int = 5, p: int = 80, q: int = 100) -> DataFrame:
+def jaccard_components(documents: DataFrame, ngram: int = 5, p: int = 80, q: int = 100, marks: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, sig) for each row of documents(doc_id, text); links join texts of Jaccard >= p/q.
 
     component_id is the smallest doc_id that links reach. Null or wordless texts have no shingles, link with nothing and
     are their own component. A row with a null doc_id counts as a copy in its group; alone, its component is null. Rows
     that repeat a doc_id keep their own rows. Equal sets form one class (a 128-bit hash of the set), so copies are never
-    paired with each other; all links between classes are found, and only a spanning forest of them is kept.
+    paired with each other; all links between classes are found, and only a spanning forest of them is kept. With marks
+    there are also group, a signature that the rows of a component share (null without shingles), and mark, a hash of the text.
     """
     spark, docs = documents.sparkSession, documents.select("doc_id", "text")
 
@@ -358,7 +360,9 @@ def jaccard_components(documents: DataFrame, ngram: int = 5, p: int = 80, q: int
     stars = stored(pairs.unionAll(crowd.select(F.col("leader").alias("a"), F.col("sig").alias("b"))).distinct(), "stars")
 
     # 2. A slim row for every document, and the shingles of one document for each signature of a candidate.
-    rows = stored(docs.mapInArrow(lean(_slim(ngram)), "doc_id long, n_shingles long, sig long, sig2 long"), "rows")
+    extra_columns = ["group", "mark"] if marks else []
+    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text") if marks else docs
+    rows = stored(marked.mapInArrow(lean(_slim(ngram)), f"doc_id long, {'mark long, ' if marks else ''}n_shingles long, sig long, sig2 long"), "rows")
     wanted = stored(stars.select("a").unionAll(stars.select("b")).distinct().toDF("sig"), "wanted")
     chosen_ids = stored(rows.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id").filter("doc_id is not null").distinct(), "chosen")
     shingled = lambda d: d.select("text").mapInArrow(lean(_sets(ngram)), "sig long, n_shingles long, sketch binary, shingles binary").join(small_side(wanted), "sig", "left_semi")
@@ -398,9 +402,9 @@ def jaccard_components(documents: DataFrame, ngram: int = 5, p: int = 80, q: int
     classes = rows.filter("sig is not null").groupBy("sig", "sig2").agg(F.min("doc_id").alias("least"))
     classes = classes.join(root, classes.sig == root.node, "left").select("sig", "sig2", "least", F.coalesce("root", "sig").alias("group"))
     tops = classes.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = classes.join(tops, "group").select("sig", "sig2", "component_id")
+    named = classes.join(tops, "group").select("sig", "sig2", "component_id", *extra_columns[:1])
     out = stored(
-        rows.filter("sig is not null").join(named, ["sig", "sig2"]).select("doc_id", "n_shingles", "component_id", "sig").unionAll(rows.filter("sig is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "sig")),
+        rows.filter("sig is not null").join(named, ["sig", "sig2"]).select("doc_id", "n_shingles", "component_id", "sig", *extra_columns).unionAll(rows.filter("sig is null").withColumn("group", F.col("sig")).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "sig", *extra_columns)),
         "components",
     )
     discard(members, large, crowd, stars, first, wanted, chosen_ids, rows, sets, links, root, open_)
@@ -409,16 +413,26 @@ def jaccard_components(documents: DataFrame, ngram: int = 5, p: int = 80, q: int
 
 
 def keep_one(documents: DataFrame, ngram: int = 5, p: int = 80, q: int = 100) -> DataFrame:
-    """documents without those that link, directly or not, to a document of smaller doc_id; of rows that repeat a doc_id one stays.
+    """documents without those that link, directly or not, to a document of smaller doc_id; all columns stay as they are.
 
-    All columns stay as they are. Rows with a null doc_id stay unless their text has a copy with a doc_id.
+    What goes is a (doc_id, text), not all rows of a doc_id. Of rows of one doc_id that link to each other one stays, and of
+    rows that repeat both doc_id and text. Rows with a null doc_id count as rows of one id: of those that link one stays,
+    also beside the document that stays by its doc_id, as a null is neither smaller nor larger.
     """
-    found = jaccard_components(documents, ngram, p, q)
-    ids = documents.select("doc_id").schema["doc_id"].dataType
-    gone = stored(found.filter("doc_id is not null and doc_id != component_id").select(F.col("doc_id").cast(ids)).distinct(), "gone")
-    kept = documents.join(small_side(gone), "doc_id", "left_anti").select(*documents.columns)
-    again = stored(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").cast(ids)), "again")
-    if again.limit(1).count():
+    key = lambda df, mark: [F.coalesce(df["doc_id"].cast("long"), F.lit(-(1 << 62))).alias("__doc"), mark.alias("__mark")]
+    found = jaccard_components(documents, ngram, p, q, marks=True)
+    found = found.select(*key(found, found["mark"]), "group", F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False)).alias("linked"))
+    gone, left = found.filter("linked").select("__doc", "__mark"), found.filter("not linked").select("__doc", "__mark", F.col("group").alias("__group"))
+    # Ids with more than one row in a group, or without one: few. There the least mark of a group stays.
+    several = stored(left.groupBy("__doc", "__group").agg(F.min("__mark").alias("__least"), F.count("*").alias("n")).filter("n > 1").select("__doc", F.col("__group").alias("__of"), "__least"), "several")
+    if several.limit(1).count():
+        both = left.join(small_side(several), (left["__doc"] == several["__doc"]) & left["__group"].eqNullSafe(several["__of"])).select(left["__doc"], "__mark", (F.col("__group").isNull() | (F.col("__mark") == F.col("__least"))).alias("stays"))
+        both = stored(both.groupBy("__doc", "__mark", "stays").count(), "both")
+        gone = gone.unionAll(both.filter("not stays").select("__doc", "__mark"))
+        again = stored(both.filter("stays and count > 1").select("__doc", "__mark"), "again")
+    gone = stored(gone.distinct(), "gone")
+    kept = documents.select("*", *key(documents, F.xxhash64(documents["text"]))).join(small_side(gone), ["__doc", "__mark"], "left_anti")
+    if several.limit(1).count() and again.limit(1).count():
         again = small_side(again)
-        kept = kept.join(again, "doc_id", "left_anti").select(*documents.columns).unionAll(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns))
-    return kept
+        kept = kept.join(again, ["__doc", "__mark"], "left_anti").unionByName(kept.join(again, ["__doc", "__mark"], "left_semi").dropDuplicates(["__doc", "__mark"]))
+    return kept.select(*documents.columns)
