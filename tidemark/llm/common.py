@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import tempfile
 import uuid
 
@@ -63,12 +62,6 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files that no plan refers to any more: it does so when the driver's JVM collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The side marked for broadcast if it has at most `limit` rows; otherwise as it is, for a shuffled join. Counts the rows: give a stored table."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

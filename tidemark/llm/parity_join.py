@@ -4,7 +4,8 @@ Each document is the set of its distinct word shingles, as 64-bit hashes. Two se
 similarity of at least p/q differ in at most D = (a + b)(q - p) div (q + p) shingles. A band of sizes fixes a number of
 parts P > D; the shingles of a part are XORed into its 64-bit word. Of P > D parts at least one holds no differing
 shingle, so documents that agree in the word of a part are candidates. A second sketch, in which every shingle toggles
-one bit of 2,048, has a Hamming distance of at most the symmetric difference; it and then the shingles verify them.
+one of at least twice as many bits, has a Hamming distance of at most the symmetric difference; it and then the shingles
+verify them. Sketches are powers of two long, so the longer of two is folded to the length of the shorter.
 """
 
 from __future__ import annotations
@@ -14,21 +15,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, free_shuffles, lean, small_side, space_words, stored
+from tidemark.llm.common import discard, lean, small_side, space_words, stored
 from tidemark.llm.graph import connected_components
 
-#: Longs of the fixed sketch that is compared before shingles are: 2,048 bits.
-SKETCH_LONGS = 32
+#: Shingles for each 64 bits of the sketch that is compared before shingles are, at most; the least length in longs.
+SKETCH_LOAD, SKETCH_LEAST = 32, 4
 #: Documents of the sample in which frequent shingles are looked for, occurrences that make one, bits of their table.
 FREQUENT_SAMPLE, FREQUENT_TIMES, FREQUENT_BITS = 20_000, 3, 24
 #: Signatures in a bucket up to which each is paired with each (a constant factor); larger buckets go by a star and by chunks.
 FEW = 16
-#: Members of a large bucket that one task compares with as many others.
-CHUNK = 512
+#: Members of a large bucket that one task compares with as many others; pairs of one document that are verified together.
+CHUNK, BLOCK = 512, 256
+#: Documents of that sample that make a bucket hot (a thousandth); documents for each part that hot buckets are dealt into.
+HOT_TIMES, HOT_ROWS = 20, 50_000
+#: Signatures that a task remembers, to give the keys of a copy once.
+SEEN = 200_000
 _WORDS_KEPT = 300_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -154,10 +160,29 @@ class Bands:
 
 
 def _sketch(s: np.ndarray) -> np.ndarray:
-    """The fixed parity sketch: Hamming distances are at most symmetric differences."""
-    words = np.zeros(SKETCH_LONGS, np.uint64)
-    np.bitwise_xor.at(words, (s >> np.uint64(59)).astype(np.int64), np.uint64(1) << (s & np.uint64(63)))
-    return words
+    """The parity sketch: Hamming distances are at most symmetric differences."""
+    bits = 64 * max(SKETCH_LEAST, 1 << max(0, (len(s) - 1) // SKETCH_LOAD).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _folded(sketch: np.ndarray, longs: int) -> np.ndarray:
+    """Sketches (rows) of the same sets in fewer bits."""
+    while sketch.shape[1] > longs:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
+
+
+def _level(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A column of sketches as rows of the shortest one's length."""
+    raw = column.to_pylist()
+    longs = np.array([len(x) // 8 for x in raw])
+    out = np.empty((len(raw), longs.min(initial=1 << 40) if len(raw) else 1), np.uint64)
+    for n in np.unique(longs):
+        at = np.flatnonzero(longs == n)
+        out[at] = _folded(np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(len(at), n), out.shape[1])
+    return out
 
 
 def _texts(batch: pa.RecordBatch) -> list[str | None]:
@@ -170,15 +195,20 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _index(ngram: int, p: int, q: int, frequent):
+    """Signatures and keys of each text; copies that a task has met lately are left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, bands = Shingler(ngram), Bands(p, q)
+        shingle, bands, seen = Shingler(ngram), Bands(p, q), set()
         often = np.unpackbits(np.frombuffer(frequent.value, np.uint8)).view(bool)
         for batch in batches:
             ids, keys = [], []
             for text in _texts(batch):
-                if len(s := shingle(text)):
-                    ids.append(_signature(s)[0])
+                if len(s := shingle(text)) and (sig := _signature(s)[0]) not in seen:
+                    ids.append(sig)
                     keys.append(bands.keys(s, often))
+                    seen.add(sig)
+            if len(seen) > SEEN:
+                seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(keys)], ["sig", "keys"])
 
     return run
@@ -195,11 +225,14 @@ def _places(ngram: int):
     return run
 
 
-def _frequent(docs: DataFrame, ngram: int) -> bytes:
-    """A bit for each place of the table: whether shingles there are frequent in a bounded sample of documents."""
-    n = docs.count()
-    part = docs if n <= FREQUENT_SAMPLE else docs.filter(F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(n)) < FREQUENT_SAMPLE)
-    often = part.select("text").mapInArrow(lean(_places(ngram)), "place int").groupBy("place").count().filter(F.col("count") >= FREQUENT_TIMES).select("place")
+def _sample(docs: DataFrame, n: int) -> DataFrame:
+    """At most about FREQUENT_SAMPLE of n documents."""
+    return docs if n <= FREQUENT_SAMPLE else docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) < FREQUENT_SAMPLE)
+
+
+def _frequent(sample: DataFrame, ngram: int) -> bytes:
+    """A bit for each place of the table: whether shingles there are frequent in the sample."""
+    often = sample.select("text").mapInArrow(lean(_places(ngram)), "place int").groupBy("place").count().filter(F.col("count") >= FREQUENT_TIMES).select("place")
     bits = np.zeros(1 << FREQUENT_BITS, np.uint8)
     bits[often.toPandas()["place"].to_numpy(np.int64)] = 1
     return np.packbits(bits).tobytes()
@@ -245,11 +278,14 @@ def _within_reach(p: int, q: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH_LONGS) for c in ("sketch_a", "sketch_b"))
-                apart = np.bitwise_count(x ^ y).sum(1)
-                keep = apart <= (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) * (q - p) // (q + p)
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            most = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) * (q - p) // (q + p)
+            raw, keep = [batch.column(c) for c in ("sketch_a", "sketch_b")], np.zeros(batch.num_rows, bool)
+            least = np.minimum(*(pc.binary_length(c).to_numpy() for c in raw))
+            for n in np.unique(least):
+                at = np.flatnonzero(least == n)
+                x, y = (_folded(_level(c.take(pa.array(at))), n // 8) for c in raw)
+                keep[at] = np.bitwise_count(x ^ y).sum(1) <= most[at]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -265,36 +301,39 @@ def _verify(p: int, q: int):
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs(a, b) that link: by sizes, by sketches, then by shingles, which move for the pairs that are left only."""
+    """The pairs(a, b) that link: by sizes, by sketches, then by shingles, which move for the pairs that are left only.
+
+    An a of many pairs is dealt into blocks, and its shingles move once a block, not once a pair.
+    """
     side = lambda end: sets.select(F.col("sig").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}"))
     close = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.col("n_a") * p <= F.col("n_b") * q).filter(F.col("n_b") * p <= F.col("n_a") * q)
     near = stored(close.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(lean(_within_reach(p, q)), "a long, b long").distinct(), "close")
-    needed = small_side(near.select(F.col("a").alias("sig")).unionAll(near.select(F.col("b").alias("sig"))).distinct())
-    few = sets.join(needed, "sig", "left_semi")
-    side = lambda end: few.select(F.col("sig").alias(end), F.col("shingles").alias(f"shingles_{end}"))
-    # b first: in the first round each b has one pair, so no shingles are shuffled twice, however many pairs an a has
-    out = near.join(side("b"), "b").join(side("a"), "a").select("a", "b", "shingles_a", "shingles_b").mapInArrow(lean(_verify(p, q)), "a long, b long")
-    return stored(out.distinct(), "links")
+    busy = stored(near.groupBy("a").count().filter(F.col("count") > BLOCK).select("a", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "busy")
+    near = near.join(small_side(busy), "a", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    firsts = near.select("a", "blocks").distinct().select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    shingles = lambda end: sets.select(F.col("sig").alias(end), F.col("shingles").alias(f"shingles_{end}"))
+    left = shingles("a").join(firsts, "a")
+    right = shingles("b").join(near.select("a", "b", "block"), "b")
+    out = stored(right.join(left, ["a", "block"]).select("a", "b", "shingles_a", "shingles_b").mapInArrow(lean(_verify(p, q)), "a long, b long").distinct(), "links")
+    discard(busy)
+    return out
+
 
+_NEAR = "bucket long, a long, b long, root_a long, root_b long, apart long, more boolean"
 
-def _near(p: int, q: int, exact: bool):
-    """Within two chunks of a bucket: members with a partner of another component within reach of the sketches; if exact, linking edges."""
+
+def _near(p: int, q: int, every: bool):
+    """Within two chunks of a bucket: pairs of different components within reach of the sketches.
+
+    Of two components the closest pair (more: whether there are others), or every one.
+    """
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        left, right = key[1].as_py(), key[2].as_py()
+        bucket, left, right = (k.as_py() for k in key)
         sig, root, size, chunk = (t.column(c).to_numpy() for c in ("sig", "root", "n_shingles", "chunk"))
         order = np.argsort(sig, kind="stable")
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_LONGS)
-        full = t.column("shingles") if exact else None
-        up = {r: r for r in set(root.tolist())}
-
-        def top(r):
-            while up[r] != r:
-                up[r] = r = up[up[r]]
-            return r
-
-        found = []
-        hit = np.zeros(len(sig), bool)
+        sketch = _level(t.column("sketch"))
+        found: list[tuple] = []
         others = order[chunk[order] == right]
         for i in order[chunk[order] == left]:
             rest = others if left != right else others[sig[others] > sig[i]]
@@ -303,33 +342,34 @@ def _near(p: int, q: int, exact: bool):
             if not len(rest):
                 continue
             apart = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(1)
-            near = rest[apart <= (size[rest] + size[i]) * (q - p) // (q + p)]
-            if not exact:
-                hit[near] = True
-                hit[i] |= len(near) > 0
-                continue
-            for j in near:
-                if top(root[i]) != top(root[j]) and _similar(np.frombuffer(full[int(i)].as_py(), np.uint64), np.frombuffer(full[int(j)].as_py(), np.uint64), p, q):
-                    up[top(root[i])] = top(root[j])
-                    found.append((int(root[i]), int(root[j])))
-        if exact:
-            return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-        t = t.filter(pa.array(hit))
-        return t.select(["bucket", "sig", "root", "n_shingles"])
+            ok = apart <= (size[rest] + size[i]) * (q - p) // (q + p)
+            found += [(int(sig[i]), int(sig[j]), *sorted((int(root[i]), int(root[j]))), int(d), False) for j, d in zip(rest[ok], apart[ok], strict=True)]
+        if not every:
+            best: dict[tuple, tuple] = {}
+            for x in found:
+                old = best.get(x[2:4])
+                best[x[2:4]] = x if old is None else (*min(x, old, key=lambda y: (y[4], *y[:2]))[:5], True)
+            found = list(best.values())
+        columns = {c: pa.array([x[k] for x in found], pa.int64()) for k, c in enumerate(("a", "b", "root_a", "root_b", "apart"))}
+        return pa.table({"bucket": pa.array([bucket] * len(found), pa.int64()), **columns, "more": pa.array([x[5] for x in found], pa.bool_())})
 
     return run
 
 
 def _chunk_pairs(members: DataFrame) -> DataFrame:
-    """members(bucket, chunk, chunks, ...): each row once for each pair of chunks that holds its own."""
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least("chunk", c).alias("i"), F.greatest("chunk", c).alias("j")))
-    return members.select("*", F.explode(pairs).alias("pair")).select("*", "pair.i", "pair.j").drop("pair")
-
+    """members(bucket, sig, root): each row once for each pair of chunks that holds it, with chunk, i and j.
 
-def _chunked(members: DataFrame) -> DataFrame:
-    w = Window.partitionBy("bucket").orderBy("sig")
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    return members.withColumn("chunk", ((F.row_number().over(w) - 1) / CHUNK).cast("int")).join(sizes, "bucket")
+    Chunks are dealt by hash. Members of a bucket's largest component have chunks of their own (from 0 up; the others from
+    -1 down), which meet the others' chunks, not each other: a straggler costs a pass over the bucket, not its square.
+    """
+    parts = stored(members.groupBy("bucket", "root").agg(F.count("*").alias("n")), "parts")
+    sizes = stored(parts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).select("bucket", "main", F.ceil(F.col("most") / CHUNK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("most")) / CHUNK).cast("int").alias("rests")).filter("rests > 0"), "sizes")
+    dealt = members.join(small_side(sizes), "bucket").withColumn("h", F.xxhash64("sig"))
+    dealt = dealt.withColumn("chunk", F.when(F.col("root") == F.col("main"), F.pmod("h", "mains")).otherwise(-1 - F.pmod("h", "rests")).cast("int"))
+    rests = F.sequence(-F.col("rests"), F.lit(-1))
+    partners = F.when(F.col("chunk") >= 0, rests).otherwise(F.concat(rests, F.sequence(F.lit(0), F.col("mains") - 1)))
+    pairs = F.transform(partners, lambda c: F.struct(F.least("chunk", c).alias("i"), F.greatest("chunk", c).alias("j")))
+    return dealt.select("bucket", "sig", "root", "chunk", F.explode(pairs).alias("pair")).select("bucket", "sig", "root", "chunk", "pair.i", "pair.j")
 
 
 def jaccard_components(documents: DataFrame, ngram: int = 5, p: int = 80, q: int = 100, marks: bool = False) -> DataFrame:
@@ -344,19 +384,26 @@ def jaccard_components(documents: DataFrame, ngram: int = 5, p: int = 80, q: int
     spark, docs = documents.sparkSession, documents.select("doc_id", "text")
 
     # 1. Pigeonhole join: signatures that share a bucket, and so the word of a part. Small buckets count shared keys;
-    # in large ones the least signature is a candidate for each other.
-    frequent = spark.sparkContext.broadcast(_frequent(docs, ngram))
-    index = docs.select("text").mapInArrow(lean(_index(ngram, p, q, frequent)), "sig long, keys array<long>").select("sig", F.explode("keys").alias("bucket"))
-    w = Window.partitionBy("bucket").orderBy("sig")
-    ranked = index.select("bucket", "sig", F.lag("sig").over(w).alias("before"), F.first("sig").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("leader"), F.dense_rank().over(w).alias("rank"))
-    members = stored(ranked.filter("sig != before and sig != leader").select("bucket", "leader", "sig", "rank"), "members")
-    free_shuffles(spark)  # the index itself isn't read again
-    per = members.groupBy("bucket").agg(F.first("leader").alias("leader"), F.max("rank").alias("m"), F.collect_list(F.when(F.col("rank") <= FEW, F.col("sig"))).alias("few"), F.min("sig").alias("least"), F.bit_xor(F.xxhash64("sig")).alias("mark"))
+    # in large ones the least signature is a candidate for each other. Buckets that are hot in the sample are dealt out.
+    n = docs.count()
+    frequent = spark.sparkContext.broadcast(_frequent(_sample(docs, n), ngram))
+    keyed = lambda d: d.select("text").mapInArrow(lean(_index(ngram, p, q, frequent)), "sig long, keys array<long>").select("sig", F.explode("keys").alias("bucket"))
+    hot = stored(keyed(_sample(docs, n)).groupBy("bucket").count().filter(F.col("count") >= HOT_TIMES).select("bucket", F.lit(True).alias("hot")), "hot")
+    part = F.when(F.col("hot"), 1 + F.pmod("sig", F.lit(2 + n // HOT_ROWS))).otherwise(0).cast("int")
+    index = keyed(docs).join(F.broadcast(hot), "bucket", "left").select("bucket", "sig", part.alias("part"))  # at most FREQUENT_SAMPLE documents' keys over HOT_TIMES
+    w = Window.partitionBy("bucket", "part").orderBy("sig")
+    ranked = index.select("bucket", "sig", "part", F.lag("sig").over(w).alias("before"), F.first("sig").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("leader"), F.dense_rank().over(w).alias("rank"))
+    ranked = ranked.filter("(before IS NULL OR sig != before) AND (sig != leader OR part > 0)")
+    members = stored(ranked.select("bucket", "leader", "sig", "rank", "part"), "members")
+    cold = members.filter("part = 0")
+    per = cold.groupBy("bucket").agg(F.first("leader").alias("leader"), F.max("rank").alias("m"), F.collect_list(F.when(F.col("rank") <= FEW, F.col("sig"))).alias("few"), F.min("sig").alias("least"), F.bit_xor(F.xxhash64("sig")).alias("mark"))
     small = per.filter(F.col("m") <= FEW).select(F.expr("shiftleft(1, CAST(bucket & 15 AS INT))").alias("need"), F.array_sort(F.concat(F.array("leader"), "few")).alias("few"))
     pairs = small.select("need", "few", F.posexplode("few").alias("at", "a")).select("need", "a", F.explode(F.slice("few", F.col("at") + 2, F.lit(FEW))).alias("b"))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
-    large = stored(per.filter(F.col("m") > FEW).groupBy("leader", "m", "least", "mark").agg(F.min("bucket").alias("bucket")), "large")
-    crowd = stored(members.select("bucket", "leader", "sig").join(small_side(large.select("bucket")), "bucket"), "crowd")
+    warm = members.filter("part > 0").groupBy("bucket").agg(F.min("sig").alias("leader"), F.count("*").alias("m"), F.min("sig").alias("least"), F.bit_xor(F.xxhash64("sig")).alias("mark")).filter("m > 1")
+    large = per.filter(F.col("m") > FEW).select("bucket", "leader", "m", "least", "mark").unionByName(warm)
+    large = stored(large.groupBy("leader", "m", "least", "mark").agg(F.min("bucket").alias("bucket")), "large")  # buckets of the same members once
+    crowd = stored(members.select("bucket", "sig").join(small_side(large.select("bucket", "leader")), "bucket").filter("sig != leader"), "crowd")
     stars = stored(pairs.unionAll(crowd.select(F.col("leader").alias("a"), F.col("sig").alias("b"))).distinct(), "stars")
 
     # 2. A slim row for every document, and the shingles of one document for each signature of a candidate.
@@ -375,28 +422,36 @@ def jaccard_components(documents: DataFrame, ngram: int = 5, p: int = 80, q: int
     first = stored(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
     links = _linked(first, sets, p, q)
     root = stored(connected_components(links), "roots")
-    at = lambda end: root.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    at = lambda end: root.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))  # noqa: E731  (the latest roots)
     apart = stars.join(first, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
     apart = apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     links = stored(links.unionAll(_linked(stored(apart, "apart"), sets, p, q)), "links")
     root = stored(connected_components(links), "roots")
 
-    # 4. Large buckets whose members still lie in more than one component: compare across components, in chunks.
+    # 4. Large buckets whose members still lie in more than one component: compare across components, in chunks. First
+    # the closest pair of each two components is verified; then every other pair in reach whose components still lie apart.
     slim = sets.select("sig", "n_shingles", "sketch")
-    everyone = crowd.select("bucket", "sig").unionAll(large.select("bucket", F.col("leader").alias("sig")))
-    rooted = everyone.join(root, everyone.sig == root.node, "left").select("bucket", "sig", F.coalesce("root", "sig").alias("root"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
-    open_ = stored(rooted.join(mixed, "bucket"), "open")
-    extra = None
+    everyone = stored(crowd.select("bucket", "sig").unionAll(large.select("bucket", F.col("leader").alias("sig"))), "everyone")
+    rooted = lambda: everyone.join(root, everyone.sig == root.node, "left").select("bucket", "sig", F.coalesce("root", "sig").alias("root"))
+    compared = lambda some, every: stored(_chunk_pairs(some).join(slim, "sig").groupBy("bucket", "i", "j").applyInArrow(_near(p, q, every), _NEAR), "near")
+    mixed = rooted().groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
+    open_ = stored(rooted().join(mixed, "bucket"), "open")
     if open_.limit(1).count():
-        near = _chunk_pairs(_chunked(open_.join(slim, "sig")))
-        near = near.groupBy("bucket", "i", "j").applyInArrow(_near(p, q, False), "bucket long, sig long, root long, n_shingles long").distinct()
-        near = stored(near, "near")
-        if near.limit(1).count():
-            near_sets = _chunk_pairs(_chunked(near.join(sets.select("sig", "sketch", "shingles"), "sig")))
-            extra = stored(near_sets.groupBy("bucket", "i", "j").applyInArrow(_near(p, q, True), "a long, b long").distinct(), "extra")
-            if extra.limit(1).count():
-                root = stored(connected_components(links.unionAll(extra)), "roots")
+        near = compared(open_, False)
+        closest = near.groupBy("root_a", "root_b").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("pair")).select("pair.a", "pair.b")
+        extra = _linked(stored(closest, "closest"), sets, p, q)
+        if extra.limit(1).count():
+            links = stored(links.unionAll(extra), "links")
+            root = stored(connected_components(links), "roots")
+        left = near.select("a", "b")
+        if near.filter("more").limit(1).count():
+            again = stored(rooted().join(near.filter("more").select("bucket").distinct(), "bucket"), "again")
+            left = left.unionAll(compared(again, True).select("a", "b"))
+        left = left.distinct().join(closest, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
+        left = stored(left.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "left")
+        extra = _linked(left, sets, p, q)
+        if extra.limit(1).count():
+            root = stored(connected_components(links.unionAll(extra)), "roots")
 
     # 5. Classes of equal sets, and the least doc_id of all classes that a component holds.
     classes = rows.filter("sig is not null").groupBy("sig", "sig2").agg(F.min("doc_id").alias("least"))
@@ -407,8 +462,7 @@ def jaccard_components(documents: DataFrame, ngram: int = 5, p: int = 80, q: int
         rows.filter("sig is not null").join(named, ["sig", "sig2"]).select("doc_id", "n_shingles", "component_id", "sig", *extra_columns).unionAll(rows.filter("sig is null").withColumn("group", F.col("sig")).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "sig", *extra_columns)),
         "components",
     )
-    discard(members, large, crowd, stars, first, wanted, chosen_ids, rows, sets, links, root, open_)
-    free_shuffles(spark)
+    discard(hot, members, large, crowd, stars, first, wanted, chosen_ids, rows, sets, everyone, open_, links, root)
     return out
 
 
