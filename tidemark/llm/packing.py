@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import lean, stored
-from tidemark.llm.tokens import encoder
+from tidemark.llm.tokens import encoder, ended
 
 #: Pieces of a cell on average (a cell's arrays take a few MB), and how many times that once cells exchange them.
 CELL, POOL = 50_000, 8
@@ -27,15 +27,14 @@ ROUNDS = 12
 
 def _pieces(vocabulary: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, 250_000)
-        end = np.array([end_id], "<u4")
+        encode = encoder(vocabulary)
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 rows = []
-                flat, bounds = encode(batch.column("text"))
+                flat, bounds = ended(*encode(batch.column("text")), end_id)
                 for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                    ids = np.concatenate((flat[bounds[i] : bounds[i + 1]].astype("<u4"), end))
+                    ids = flat[bounds[i] : bounds[i + 1]]
                     for k in range(0, len(ids), capacity):
                         part = ids[k : k + capacity]
                         rows.append((doc_id, k // capacity, k, len(part), zlib.crc32(part.tobytes())))

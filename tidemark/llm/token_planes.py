@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import lean, scratch_path, small_side, stored
-from tidemark.llm.tokens import encoder
+from tidemark.llm.tokens import encoder, ended
 
 MAGIC = b"TDP1"
 BLOCK = 1 << 16
@@ -63,7 +63,11 @@ class PlaneWriter:
         out.write(MAGIC)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, len(ids)))
+        self.add_all([doc_id], np.array([len(ids)]), ids)
+
+    def add_all(self, doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Documents, the number of ids of each, and the ids of all."""
+        self.docs += zip(doc_ids, sizes.tolist(), strict=True)
         self.parts.append(ids)
         self.held += len(ids)
         if self.held >= self.block:
@@ -133,16 +137,15 @@ def _write(path: str, vocabulary: str, end_id: int, kind: str):
         store, root = open_fs(path)
         store.create_dir(root, recursive=True)
         name = posixpath.join(root, f"part-{part:06d}-{uuid.uuid4().hex}.tdp")  # an attempt that fails leaves a file that the manifest doesn't name
-        end, docs = np.array([end_id], "<u4"), 0
+        docs = 0
         with store.open_output_stream(name) as out:
             w = PlaneWriter(out, kind)
             for batch in batches:
                 for at in range(0, batch.num_rows, 4096):
                     some = batch.slice(at, 4096)
-                    ids, bounds = encode(some.column("text"))
-                    for i, doc_id in enumerate(some.column("doc_id").to_pylist()):
-                        w.add(doc_id, np.concatenate((ids[bounds[i] : bounds[i + 1]], end)))
-                        docs += 1
+                    ids, bounds = ended(*encode(some.column("text")), end_id)
+                    w.add_all(some.column("doc_id").to_pylist(), np.diff(bounds), ids)
+                    docs += some.num_rows
             n = w.close()
         if docs:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([docs], pa.int64()), pa.array([n], pa.int64())], ["part", "file", "docs", "tokens"])
@@ -172,12 +175,14 @@ def write_tokens(documents: DataFrame, vocabulary: str, end_id: int, path: str |
     """Encodes documents(doc_id, text) and writes plane files in ascending doc_id order over the files; returns the manifest.
 
     Manifest: part (the order of the files), file, docs, tokens. A null text is empty: its document is the end id alone.
-    Null doc_ids come first; rows that repeat a doc_id stay apart, ordered by text. The files go to `path`, or to the
-    shared folder. One shuffle deals the texts out by ranges of doc_id; a task holds one block and one batch at a time.
+    Null doc_ids come first; rows that repeat a doc_id (or have none) stay apart, ordered by a hash of the text, by which
+    they are also dealt out. The files go to `path`, or to the shared folder. One shuffle deals the texts out by ranges of
+    doc_id; a task holds one block and one batch at a time.
     """
     spark = documents.sparkSession
     path = path or scratch_path(spark, "planes")
-    ranged = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    hashed = documents.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    ranged = hashed.repartitionByRange("doc_id", "hash").sortWithinPartitions(F.asc_nulls_first("doc_id"), "hash").select("doc_id", "text")
     manifest = stored(ranged.mapInArrow(lean(_write(path, vocabulary, end_id, kind)), "part int, file string, docs long, tokens long"), "manifest")
     manifest._tidemark_root = path
     return manifest
