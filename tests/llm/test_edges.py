@@ -3,6 +3,7 @@
 import collections
 import gzip
 import io
+import math
 import zlib
 
 import numpy as np
@@ -336,17 +337,34 @@ def test_pseudonym_edges(docs, empty):
     assert pii.pseudonymised(empty, b"k").count() == 0
 
 
-def test_topk_edges(spark):
-    rows = [(0, [1.0, 0.5]), (20, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [-1.0, 3.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [1.0]), (8, []), (1, [1.0, 0.5])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("x", F.lit(1)).withColumn("cell", F.lit(1))
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df).collect())
-    e = {0: (64, 32), 20: (64, 32), 1: (64, 32), 2: (-64, 192), 7: (64, 0)}
+def brute_top_k(rows, every=20, k=20):
+    """Rows (vec_id, embedding) that take part, each against every other row, in Python's integers."""
+    take = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    hold = lambda s: max(-(2**63), min(2**63 - 1, s))
     want = []
-    for a in (0, 20):
-        best = sorted((-sum(x * y for x, y in zip(e[a], e[b], strict=True)), b) for b in e if b != a)
-        want += [(a, i + 1, b, -s) for i, (s, b) in enumerate(best)]
-    assert got == sorted(want)
+    for at, (a, u) in enumerate(take):
+        if a % every == 0:
+            best = sorted((-hold(sum(x * y for x, y in zip(u, v))), b) for j, (b, v) in enumerate(take) if j != at)[:k]
+            want += [(a, r + 1, b, -s) for r, (s, b) in enumerate(best)]
+    return sorted(want)
+
+
+def test_topk_edges(spark):
+    """Only vectors that are null or hold null or non-finite components take no part (and rows without an id)."""
+    rows = [(0, [1.0, 0.5]), (20, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [-1.0, 3.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [1.0]), (8, []), (1, [1.0, 0.5]), (9, [1e9, 0.0]), (2, [0.0, 1.0]), (10, [-3e15, 2e15]), (20, [0.25, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("x", F.lit(1)).withColumn("cell", F.lit(1))
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df).collect()) == brute_top_k(rows)
     assert topk.top_k(df.filter("false")).count() == 0
+    assert sorted(r.rank for r in topk.top_k(df.filter("vec_id in (0, 8)")).collect()) == [1]
+
+
+def test_topk_of_mixed_magnitudes(spark):
+    """Norms that lie many powers of ten apart, where a lifted coordinate loses its last digits."""
+    rng = np.random.default_rng(16)
+    rows = [(i, [float(v) for v in rng.normal(0, 10.0 ** rng.integers(-1, 8), 6)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, every=10, k=5, pivots=8, rings=4, block=32)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == brute_top_k(rows, 10, 5)
 
 
 def test_topk_pruning_is_exact(spark):

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, stored
 
-#: Vectors of the sample from which pivots are chosen, pivots, annuli of a pivot, vectors of a block of an annulus, queries of a block.
-SAMPLE, PIVOTS, RINGS, BLOCK, QUERIES = 4096, 32, 8, 4096, 2048
+#: Vectors of the sample from which pivots are chosen, pivots, annuli of a pivot (at least and at most, one for each BLOCK vectors
+#: between), vectors of a block of an annulus, queries of a block.
+SAMPLE, PIVOTS, RINGS, MOST_RINGS, BLOCK, QUERIES = 4096, 32, 8, 1024, 4096, 2048
 _EXACT32, _EXACT64 = 1 << 24, 1 << 53
 
 
@@ -30,42 +31,56 @@ def _rows(table, column: str, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(raw), f"<i{width}").astype(np.int64).reshape(-1, dim)
 
 
+def _largest(x: np.ndarray) -> np.ndarray:
+    """Each row's largest magnitude, as a double (integers' own magnitude can leave their range)."""
+    return np.abs(x.astype(np.float64)).max(1, initial=0)
+
+
 def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Exact integer inner products: in floats where every partial sum is exact, else in integers of any size, held to 64 bits."""
-    top = int(np.abs(q).max(initial=0)) * int(np.abs(v).max(initial=0)) * max(1, q.shape[1])
+    a, b = _largest(q) * max(1, q.shape[1]), _largest(v)
+    top = a.max(initial=0) * b.max(initial=0)
     if top < _EXACT32:
         return (q.astype(np.float32) @ v.astype(np.float32).T).astype(np.int64)
     if top < _EXACT64:
         return (q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
-    if top < 1 << 63:
+    if top < 1 << 62:
         return q @ v.T
+    if len(q) * len(v) > 1:  # only the rows that are that long need wide integers
+        for wide, other in ((a, b), (b, a)):
+            long = wide * np.median(other) >= 1 << 62
+            if 0 < long.sum() < len(wide):
+                out = np.empty((len(q), len(v)), np.int64)
+                for rows in (np.flatnonzero(long), np.flatnonzero(~long)):
+                    at = (rows, slice(None)) if wide is a else (slice(None), rows)
+                    out[at] = products(q[rows], v) if wide is a else products(q, v[rows])
+                return out
     exact = q.astype(object) @ v.astype(object).T
     return np.clip(exact, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = 64) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component as a long array.
+    """(vec_id, v): floor(scale * x) of each component as a long array (held to 64 bits), a row for each row that takes part.
 
-    Rows with a null id, a null or empty vector, or a null, non-finite or (scaled) over-long component take no part; of
-    rows that share a vec_id, the least vector stays.
+    Rows with a null id, a null vector, or a null or non-finite component take no part. Empty vectors and rows that repeat
+    a vec_id do.
     """
-    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < float(1 << 31)))
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine)
-    return rows.select("vec_id", scaled.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    scaled = F.transform("embedding", lambda x: F.floor(F.greatest(F.lit(-9.3e18), F.least(F.lit(9.3e18), x.cast("double") * scale))))
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    return embeddings.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"))
 
 
 def _pack(dim: int, width: int):
-    """Rows (vec_id, v) to (vec_id, x): components as integers of `width` bytes, shorter vectors filled up with zeros."""
+    """Rows (row, vec_id, v) to (row, vec_id, x): components as integers of `width` bytes, shorter vectors filled up with zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for v in batch.column("v").to_pylist():
-                x = np.zeros(dim, f"<i{width}")
-                x[: len(v)] = v
-                out.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary())], ["vec_id", "x"])
+            v = batch.column("v")
+            size = np.diff(v.offsets.to_numpy())
+            x = np.zeros((len(v), dim), f"<i{width}")
+            x[np.arange(dim) < size[:, None]] = v.flatten().to_numpy()
+            raw = pa.array([r.tobytes() for r in x], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), raw], ["row", "vec_id", "x"])
 
     return run
 
@@ -96,12 +111,17 @@ def _lift(x: np.ndarray, top: float) -> np.ndarray:
     return np.column_stack((x.astype(np.float64), np.sqrt(np.maximum(top - norms, 0))))
 
 
+def _slack(top: float, dim: int) -> float:
+    """More than rounding can change in the difference of two distances: their squares are of the order of `top`."""
+    return 2e-7 * float(np.sqrt((dim + 16) * top)) + 1e-6
+
+
 def _keyed(pivots, top: float, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = _distances(_lift(_rows(batch, "x", dim), top), pivots.value)
             own = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(own.astype(np.int32)), pa.array(d[np.arange(len(own)), own]), batch.column("x")], ["vec_id", "pivot", "far", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), pa.array(own.astype(np.int32)), pa.array(d[np.arange(len(own)), own]), batch.column("x")], ["row", "vec_id", "pivot", "far", "x"])
 
     return run
 
@@ -129,64 +149,69 @@ def _first_look(every: int, k: int, dim: int):
             for row, i in zip(s, part, strict=True):
                 others = np.delete(row, i)
                 low.append(int(np.partition(others, len(others) - k)[len(others) - k]) if len(others) >= k else None)
-        return pa.table({"query_id": pa.array(ids[at], pa.int64()), "x": t.column("x").take(pa.array(at)), "low": pa.array(low, pa.int64())})
+        take = pa.array(at)
+        return pa.table({"cell": t.column("cell").take(take), "query": t.column("row").take(take), "query_id": pa.array(ids[at], pa.int64()), "x": t.column("x").take(take), "low": pa.array(low, pa.int64())})
 
     return run
 
 
+def _bounds(t: pa.Table, pivots, top: float, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of queries: vectors, distances to the pivots, how far a vector as good as the bound can lie, the bound."""
+    q = _rows(t, "x", dim)
+    wide = q.astype(np.float64)
+    d = _distances(np.column_stack((wide, np.zeros(len(q)))), pivots.value)
+    low = np.array([-(1 << 63) if v is None else v for v in t.column("low").to_pylist()], np.int64)
+    bound = np.where(low == -(1 << 63), -np.inf, low.astype(np.float64))  # scores that low may be cut off
+    radius = np.sqrt(np.maximum((wide**2).sum(1) + top - 2 * bound, 0)) * (1 + 1e-9) + _slack(top, dim)
+    return q, d, radius, low
+
+
 def _reach(pivots, cells, top: float, dim: int):
-    """The annuli that can hold a vector as good as each query's bound."""
+    """The blocks of the annuli that can hold a vector as good as the bound of any query of a deal."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key: tuple, t: pa.Table) -> pa.Table:
         pivot, near, far, blocks = cells.value
-        for batch in batches:
-            q = _rows(batch, "x", dim).astype(np.float64)
-            d = _distances(np.column_stack((q, np.zeros(len(q)))), pivots.value)
-            low = np.array([-np.inf if v is None else v for v in batch.column("low").to_pylist()], np.float64)
-            radius = np.sqrt(np.maximum((q**2).sum(1) + top - 2 * low, 0)) * (1 + 1e-9) + 1e-6
-            gap = np.maximum(0, np.maximum(d[:, pivot] - far, near - d[:, pivot]))
-            i, c = np.nonzero(gap <= radius[:, None])
-            times = blocks[c]
-            i, c = np.repeat(i, times), np.repeat(c, times)
-            within = np.arange(len(c)) - np.repeat(np.cumsum(times) - times, times)
-            take = pa.array(i)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c.astype(np.int32)), pa.array(within.astype(np.int32)), batch.column("query_id").take(take), batch.column("x").take(take), pa.array(d[i, pivot[c]]), pa.array(radius[i]), batch.column("low").take(take)],
-                ["cell", "block", "query_id", "x", "far", "radius", "low"],
-            )
+        _, d, radius, _ = _bounds(t, pivots, top, dim)
+        hit = np.zeros(len(pivot), bool)
+        for a, b in zip(d, radius, strict=True):
+            hit |= np.maximum(a[pivot] - far, near - a[pivot]) <= b
+        c = np.flatnonzero(hit)
+        times = blocks[c]
+        within = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        n = len(within)
+        return pa.table({"from": pa.array([key[0].as_py()] * n, pa.int32()), "deal": pa.array([key[1].as_py()] * n, pa.int32()), "cell": pa.array(np.repeat(c, times).astype(np.int32)), "block": pa.array(within.astype(np.int32))})
 
     return run
 
 
-def _search(k: int, dim: int):
-    """A block of an annulus, sorted by distance to the pivot, against the queries that reach it."""
+def _search(pivots, cells, k: int, top: float, dim: int):
+    """A block of an annulus, sorted by distance to the pivot, against the queries of a deal that reaches it."""
 
     def run(key: tuple, queries: pa.Table, block: pa.Table) -> pa.Table:
-        out_q, out_v, out_s = [], [], []
+        out_r, out_q, out_v, out_s = [], [], [], []
         if block.num_rows and queries.num_rows:
             far = block.column("far").to_numpy()
             order = np.argsort(far, kind="stable")
-            far, ids = far[order], block.column("vec_id").to_numpy()[order]
+            far, ids, rows = far[order], block.column("vec_id").to_numpy()[order], block.column("row").to_numpy()[order]
             x = _rows(block, "x", dim)[order]
-            q = _rows(queries, "x", dim)
-            names, d, radius = (queries.column(c).to_numpy() for c in ("query_id", "far", "radius"))
-            low = np.array([-(1 << 63) if v is None else v for v in queries.column("low").to_pylist()], np.int64)
+            q, d, radius, low = _bounds(queries, pivots, top, dim)
+            d = d[:, cells.value[0][key[0].as_py()]]
+            names, own = queries.column("query_id").to_numpy(), queries.column("query").to_numpy()
             begin, end = np.searchsorted(far, d - radius, "left"), np.searchsorted(far, d + radius, "right")
-            by = np.argsort(begin, kind="stable")
+            by = np.flatnonzero(begin < end)
+            by = by[np.argsort(begin[by], kind="stable")]
             for part in np.array_split(by, max(1, -(-len(by) // 256))):
                 if not len(part):
                     continue
                 a, b = begin[part].min(), end[part].max()
-                if a >= b:
-                    continue
                 scores = products(q[part], x[a:b])
                 for row, i in zip(scores, part, strict=True):
                     at = np.flatnonzero(row >= low[i])
-                    at = at[ids[a + at] != names[i]]
+                    at = at[rows[a + at] != own[i]]
                     at = at[_best(row[at], ids[a + at], k)]
-                    out_q.append(np.full(len(at), names[i])), out_v.append(ids[a + at]), out_s.append(row[at])
+                    out_r.append(np.full(len(at), own[i])), out_q.append(np.full(len(at), names[i])), out_v.append(ids[a + at]), out_s.append(row[at])
         join = lambda z: pa.array(np.concatenate(z) if z else np.empty(0, np.int64), pa.int64())
-        return pa.table({"query_id": join(out_q), "vec_id": join(out_v), "score": join(out_s)})
+        return pa.table({"query": join(out_r), "query_id": join(out_q), "vec_id": join(out_v), "score": join(out_s)})
 
     return run
 
@@ -195,41 +220,46 @@ def top_k(embeddings: DataFrame, every: int = 20, k: int = 20, scale: int = 64,
     """(query_id, rank, vec_id, score): for each vector whose id is divisible by `every`, its k highest integer inner products with the others.
 
     Ties go to the smaller vec_id; fewer than k others give fewer rows; an empty table gives none. Missing components of
-    shorter vectors count as 0. Scores are held to 64 bits. Pivots are fitted on at most SAMPLE vectors (those of the
-    smallest id hashes); every vector is indexed and the result is exact. What is broadcast has a fixed size: the pivots,
-    and a row for each annulus.
+    shorter (or empty) vectors count as 0. Rows that repeat a vec_id are candidates each, and queries each, also for one
+    another. Scores are held to 64 bits. Pivots are fitted on at most SAMPLE vectors (those of the smallest hashes); every
+    vector is indexed and the result is exact. What is broadcast has a bounded size: the pivots, and a row for each
+    annulus, of which there are at most MOST_RINGS a pivot.
     """
     spark = embeddings.sparkSession
-    vectors = stored(integer_vectors(embeddings, scale), "vectors")
+    vectors = stored(integer_vectors(embeddings, scale).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "vectors")
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    dim, top, most = vectors.agg(F.max(F.size("v")), F.max(norm), F.max(largest)).first()
-    if dim is None:
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    n, dim, top, most = vectors.agg(F.count("*"), F.max(F.size("v")), F.max(norm), F.max(largest)).first()
+    if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width = next(b for b in (1, 2, 4, 8) if most < 1 << 8 * b - 1)
-    packed = vectors.mapInArrow(_pack(dim, width), "vec_id long, x binary")
-    sample = packed.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("x").collect()
+    dim = max(1, dim)
+    width = next((b for b in (1, 2, 4) if (most or 0) < 1 << 8 * b - 1), 8)
+    packed = vectors.mapInArrow(_pack(dim, width), "row long, vec_id long, x binary")
+    sample = packed.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE).select("x").collect()
     lifted = _lift(np.frombuffer(b"".join(bytes(r.x) for r in sample), f"<i{width}").reshape(-1, dim), top)
     centres = spark.sparkContext.broadcast(choose_pivots(lifted, pivots))
-    keyed = stored(packed.mapInArrow(_keyed(centres, top, dim), "vec_id long, pivot int, far double, x binary"), "keyed")
+    keyed = stored(packed.mapInArrow(_keyed(centres, top, dim), "row long, vec_id long, pivot int, far double, x binary"), "keyed")
 
     # annuli: approximate quantiles of the distances to each pivot, then exact bounds of what fell into each
-    cuts = keyed.groupBy("pivot").agg(F.percentile_approx("far", [i / rings for i in range(1, rings)], 1000).alias("cuts"))
+    rings = min(MOST_RINGS, max(rings, -(-n // (pivots * block))))
+    cuts = keyed.groupBy("pivot").agg(F.percentile_approx("far", [i / rings for i in range(1, rings)] or [0.5], max(1000, 20 * rings)).alias("cuts"))
     ringed = keyed.join(F.broadcast(cuts), "pivot").withColumn("ring", F.size(F.filter("cuts", lambda c: c < F.col("far"))))  # a row a pivot
-    sizes = ringed.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("far").alias("near"), F.max("far").alias("far")).orderBy("pivot", "ring").collect()  # pivots x rings rows at most
+    sizes = ringed.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("far").alias("near"), F.max("far").alias("far")).orderBy("pivot", "ring").collect()  # pivots x MOST_RINGS rows at most
     blocks = np.array([-(-r.n // block) for r in sizes], np.int64)
     cells = spark.sparkContext.broadcast((np.array([r.pivot for r in sizes]), np.array([r.near for r in sizes]), np.array([r.far for r in sizes]), blocks))
     named = spark.createDataFrame([(r.pivot, r.ring, i, int(b)) for i, (r, b) in enumerate(zip(sizes, blocks, strict=True))], "pivot int, ring int, cell int, blocks int")
-    index = stored(ringed.join(F.broadcast(named), ["pivot", "ring"]).select("cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "far", "x"), "index")
-
-    looked = stored(index.groupBy("cell", "block").applyInArrow(_first_look(every, k, dim), "query_id long, x binary, low long"), "queries")
-    wanted = looked.mapInArrow(_reach(centres, cells, top, dim), "cell int, block int, query_id long, x binary, far double, radius double, low long")
-    # many queries of one block of vectors are dealt to several tasks; the block goes to those that have any
-    deals = max(1, -(-looked.count() // QUERIES))
-    wanted = stored(wanted.withColumn("deal", F.pmod(F.xxhash64("query_id"), F.lit(deals)).cast("int")), "wanted")
-    rows = index.join(wanted.select("cell", "block", F.col("deal").alias("dealt")).distinct(), ["cell", "block"])
-    found = wanted.groupBy("cell", "block", "deal").cogroup(rows.groupBy("cell", "block", "dealt")).applyInArrow(_search(k, dim), "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    discard(vectors)
+    index = stored(ringed.join(F.broadcast(named), ["pivot", "ring"]).select("cell", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), "row", "vec_id", "far", "x"), "index")
+
+    # queries of an annulus are dealt into bounded groups; which blocks a group reaches is all that is kept, no vectors
+    looked = stored(index.groupBy("cell", "block").applyInArrow(_first_look(every, k, dim), "cell int, query long, query_id long, x binary, low long"), "looked")
+    deals = looked.groupBy(F.col("cell").alias("from")).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("deals"))
+    asked = looked.withColumnRenamed("cell", "from").join(F.broadcast(deals), "from")  # a row an annulus
+    asked = stored(asked.select("from", F.pmod(F.xxhash64("query"), "deals").cast("int").alias("deal"), "query", "query_id", "x", "low"), "asked")
+    reached = stored(asked.groupBy("from", "deal").applyInArrow(_reach(centres, cells, top, dim), "`from` int, deal int, cell int, block int"), "reached")
+    keys = ["cell", "block", "from", "deal"]
+    left, right = asked.join(reached, ["from", "deal"]), index.join(reached, ["cell", "block"])
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(centres, cells, k, top, dim), "query long, query_id long, vec_id long, score long")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    out = stored(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "topk")
+    discard(vectors, keyed, index, looked, asked, reached)
     return out
