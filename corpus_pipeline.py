@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontam, langid, packing, parity_join, pii
 from tidemark.llm.common import stored, table
-from tidemark.llm.queries import KEY
 from tidemark.session import ready
 
 
@@ -35,7 +34,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Validated numbers and dates become keyed pseudonyms; every document stays."""
     ready(spark)
-    return pii.pseudonymised(docs, KEY).select(*docs.columns)
+    found = pii.pseudonymised(docs, pii.configured_key(spark))
+    return found.drop(found.columns[-1])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

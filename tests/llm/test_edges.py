@@ -4,6 +4,8 @@ import collections
 import gzip
 import io
 import math
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -251,6 +253,45 @@ def test_language_edges(spark, docs, empty):
     assert kept.columns == docs.columns and not {3, 4, 5} & {r.doc_id for r in kept.collect()}
 
 
+def test_marks_are_no_letters_and_names_may_clash(spark):
+    rows = [(1, "\u0301\u0302"), (2, "the cat"), (3, "\u0301 5")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__text", F.lit("y")).withColumn("__lang", F.lit("z")).withColumn("__score", F.lit(7))
+    m = langid.Model(["en"], np.zeros((langid.FEATURES, 1), np.float32), np.zeros(1), 1.0)
+    out = langid.identify(df, m)
+    assert out.columns == [*df.columns, "__lang_", "__score_"]
+    assert {r.doc_id: r["__lang_"] for r in out.collect()} == {1: "und", 2: "en", 3: "und"}
+
+
+def test_scores_against_a_plain_model(spark):
+    """The same weights applied character by character in Python."""
+    rng = np.random.default_rng(2)
+    langs = ["aa", "bb", "cc"]
+    m = langid.Model(langs, rng.normal(0, 50, (langid.FEATURES, 3)).astype(np.float32), rng.normal(0, 1, 3), 1.7)
+    texts = ["Hello, wörld! 12", "é", "ab  ab\tab", "12 x", "ǅ ŁÓDŹ", "日本 語", "a\u0301b " * 50, "", None, "123"]
+
+    def plain(text):
+        mask = (1 << 32) - 1
+        s = "".join((c.lower() if len(c.lower()) == 1 else c) if unicodedata.category(c)[0] in "LM" else " " for c in text or "")
+        if not any(unicodedata.category(c)[0] == "L" for c in s):
+            return "und", 0.0
+        c = [32, *map(ord, re.sub(" +", " ", s)), 32]
+        grams = []
+        for n in (1, 2, 3):
+            for i in range(len(c) - n + 1):
+                h = 0
+                for k in range(n):
+                    h = (h * 0x01000193 + c[i + k] * 0x9E3779B1 & mask) ^ (k + 1)
+                grams.append((h * 0x85EBCA6B & mask) >> 16)
+        z = [sum(float(m.weights[f][y]) for f in grams) / len(grams) + m.bias[y] for y in range(3)]
+        e = [math.exp((v - max(z)) / 1.7) for v in z]
+        return langs[int(np.argmax(z))], max(e) / sum(e)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in langid.identify(df, m).collect():
+        want = plain(texts[r.doc_id])
+        assert r["__lang"] == want[0] and abs(r["__score"] - want[1]) < 1e-4, (texts[r.doc_id], want)
+
+
 @pytest.mark.parametrize("rare,others", [(40, [20] * 7), (6, [22] * 6 + [23])])
 def test_rare_languages_are_learned_from(spark, monkeypatch, rare, others):
     """Eight languages of skewed counts: each gives an equal part of the sample, or all that it has."""
@@ -319,6 +360,43 @@ def test_pseudonyms_beside_other_groups(key):
         assert alone != value and kinds.count(own[0]) == n and new.count(alone) == n and p.replace(new, back=True)[0] == text
 
 
+def test_phones_and_addresses():
+    """Numbers with area codes that can't be stay; exchanges stay of their kind; addresses of any letters are found."""
+    p = pii.Pseudonyms(b"k")
+    for text in ("call 555-123-4567 now", "(415) 555-2671", "+1 212 555 0199", "212.555.0199 or so", "an jörg.müller@köln.example.de", "иван@пример.рф", "to jo_e+x@example.co.uk."):
+        new, kinds = p.replace(text)
+        assert len(kinds) == 1 and new != text and len(new) == len(text) and p.replace(new, back=True) == (text, kinds), text
+        if kinds == ["phone"]:
+            digits = [re.sub(r"\D", "", x)[-10:] for x in (text, new)]
+            assert digits[1][0] >= "2" and digits[1][1:3] != "11" and (digits[0][3] >= "2") == (digits[1][3] >= "2")
+        else:
+            assert new.split("@")[1] == text.split("@")[1]
+    for text in ("(017) 555-7713", "911-555-1234", "1.555-123-4567", "555-123-45678", "2024-555-123-4568", "a@b", "x@-y.com"):
+        assert p.replace(text) == (text, [])
+
+
+def test_equal_values_stay_linked_across_documents(spark):
+    """Brute force over documents with and without digits: a value has one pseudonym everywhere, different values have different ones."""
+    values = ["jane.doe@example.com", "JANE.doe@example.com", "kim@example.org", "4539 1488 0343 6467", "+1 (415) 555-2671", "415-555-2671", "123-45-6789", "2024-02-29", "10.20.30.40"]
+    around = ["{}", "write to {} now", "{} 5 times", "no. 17: {}", "{}, {}"]
+    rows = [(i * 10 + k, a.format(v, v), v) for i, v in enumerate(values) for k, a in enumerate(around)] + [(900, "clean words", None), (901, None, None), (902, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, value string")
+    for c in ("__text", "__kinds", "__kinds_", "__lang", "__score"):
+        df = df.withColumn(c, F.lit("x"))
+    out = pii.pseudonymised(df, b"k")
+    assert out.columns == [*df.columns, "__kinds__"]
+    of = collections.defaultdict(set)
+    for r in out.collect():
+        if r.value is None:
+            assert (r.text, r["__kinds__"]) == ({901: None, 902: "", 900: "clean words"}[r.doc_id], [])
+            continue
+        before, after = around[r.doc_id % 10].split("{}")[0], around[r.doc_id % 10].split("{}")[-1]
+        new = r.text[len(before) : len(r.text) - len(after)]
+        of[r.value].update(new.split(", ") if r.doc_id % 10 == 4 else [new])
+        assert r.value not in r.text and r["__text"] == "x"
+    assert all(len(x) == 1 for x in of.values()) and len({next(iter(x)) for x in of.values()}) == len(values)
+
+
 def test_pseudonyms_of_runs_come_back():
     """Groups at random, in which several readings overlap."""
     rng, p, some = np.random.default_rng(8), pii.Pseudonyms(b"k"), 0

@@ -79,5 +79,40 @@ def lean(run):
     return task
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened by underscores where df has a column of that name (whatever its case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_columns_from(df: DataFrame, text: str, start, added: list[str], fields: str) -> DataFrame:
+    """df with columns more, which a function of each task, start(), derives from its column `text`: from a list of texts, their arrays.
+
+    Columns are passed by place, so df's own may have any name. `text` itself is replaced if `added` names it.
+    """
+    types = [f.dataType.simpleString() for f in df.schema]
+    at = df.columns.index(text)
+    replaced = text in added
+    order = [c for c in added if c != text]
+
+    def batches_(batches):
+        run = start()
+        for batch in batches:
+            new = dict(zip(added, run(batch.column(at).to_pylist()), strict=True))
+            columns = [new[text] if replaced and i == at else c for i, c in enumerate(batch.columns)]
+            columns += [new[c] for c in order]
+            yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
+
+    kinds = dict(f.split(" ", 1) for f in fields.split(", "))
+    schema = ", ".join([*(f"c{i} {t}" for i, t in enumerate(types)), *(f"c{len(types) + i} {kinds[c]}" for i, c in enumerate(order))])
+    named = df.toDF(*[f"c{i}" for i in range(len(types))])
+    return named.mapInArrow(lean(batches_), schema).toDF(*df.columns, *order)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

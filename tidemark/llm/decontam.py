@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import alnum_words, lean, small_side, stored
+from tidemark.llm.common import alnum_words, free_names, lean, small_side, stored
 
 #: Terms of a benchmark up to which they are sent to every task (about 100 bytes each); beyond, all terms are indexed.
 VOCABULARY = 300_000
@@ -187,6 +187,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 13, share
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20) -> DataFrame:
     """documents without the contaminated ones; all columns stay."""
-    bad = stored(contamination(documents, benchmark, n, share).filter("contaminated").select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("__doc"), F.col("mark").alias("__mark")).distinct(), "contaminated")
-    key = [F.coalesce(documents["doc_id"].cast("long"), F.lit(-(1 << 62))).alias("__doc"), F.xxhash64(documents["text"]).alias("__mark")]
-    return documents.select("*", *key).join(small_side(bad), ["__doc", "__mark"], "left_anti").select(*documents.columns)
+    doc, mark = free_names(documents, "__doc", "__mark")
+    bad = stored(contamination(documents, benchmark, n, share).filter("contaminated").select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias(doc), F.col("mark").alias(mark)).distinct(), "contaminated")
+    key = [F.coalesce(documents["doc_id"].cast("long"), F.lit(-(1 << 62))).alias(doc), F.xxhash64(documents["text"]).alias(mark)]
+    return documents.select("*", *key).join(small_side(bad), [doc, mark], "left_anti").drop(doc, mark)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lean
+from tidemark.llm.common import free_names, lean, with_columns_from
 
 UNKNOWN = "und"
 #: Features; documents that weights are trained on at most (the bound of the sample), characters in a row of them handled at a time.
@@ -28,7 +28,7 @@ _ORDERS = (1, 2, 3)
 
 
 def _letters() -> np.ndarray:
-    """For each code point its lower-case form if it is a letter or mark, else a space."""
+    """For each code point its lower-case form if it is a letter or a mark, else a space."""
     out = np.full(sys.maxunicode + 1, 32, np.uint32)
     for c in range(sys.maxunicode + 1):
         if 0xD800 <= c <= 0xDFFF:
@@ -42,10 +42,13 @@ def _letters() -> np.ndarray:
 
 class Features:
     _table: np.ndarray | None = None
+    _is_letter: np.ndarray
 
     def __init__(self):
         if Features._table is None:
             Features._table = _letters()
+            Features._is_letter = np.zeros(len(Features._table), bool)
+            Features._is_letter[[c for c in np.unique(Features._table).tolist() if unicodedata.category(chr(c))[0] == "L"]] = True
 
     def __call__(self, text: str | None) -> np.ndarray | None:
         """Hashed n-grams in order, or None if the text has no letter."""
@@ -53,7 +56,7 @@ class Features:
             return None
         c = self._table[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
         gap = c == 32
-        if gap.all():
+        if not self._is_letter[c].any():  # marks alone are no letters
             return None
         c = np.concatenate(([32], c[~(gap & np.concatenate(([False], gap[:-1])))], [32])).astype(np.uint32)
         out, h = [], np.zeros(len(c), np.uint32)
@@ -210,18 +213,23 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
-    """documents with lang_pred and score; `und` with score 0 if the text is null or has no letter, or the model knows nothing."""
+    """documents with two columns more, language and score; `und` with score 0 if the text is null or has no letter, or the model knows nothing.
+
+    They are called __lang and __score, lengthened by underscores where documents has such columns.
+    """
+    lang, score = free_names(documents, "__lang", "__score")
     known = documents.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         features, m = Features(), known.value
-        for batch in batches:
-            found = [m.predict(features(t)) for t in batch.column("__text").to_pylist()]
-            rest = batch.select([c for c in range(batch.num_columns - 1)])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], [*rest.schema.names, "__lang", "__score"])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in documents.schema)
-    return documents.select("*", F.col("text").alias("__text")).mapInArrow(lean(run), f"{fields}, __lang string, __score double")
+        def run(texts: list[str | None]) -> list[pa.Array]:
+            found = [m.predict(features(t)) for t in texts]
+            return [pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
+
+        return run
+
+    return with_columns_from(documents, "text", start, [lang, score], f"{lang} string, {score} double")
 
 
 def language_digests(documents: DataFrame) -> DataFrame:
@@ -233,4 +241,5 @@ def language_digests(documents: DataFrame) -> DataFrame:
 def keep_identified(documents: DataFrame, least: float = 0.5) -> DataFrame:
     """documents whose language is known at a score of `least` or more; all columns stay as they are."""
     found = identify(documents, train(documents))
-    return found.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*documents.columns)
+    lang, score = found.columns[-2:]
+    return found.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, lean, small_side, space_words, stored
+from tidemark.llm.common import discard, free_names, lean, small_side, space_words, stored
 from tidemark.llm.graph import connected_components
 
 #: Shingles for each 64 bits of the sketch that is compared before shingles are, at most; the least length in longs.
@@ -473,20 +473,21 @@ def keep_one(documents: DataFrame, ngram: int = 5, p: int = 80, q: int = 100) ->
     rows that repeat both doc_id and text. Rows with a null doc_id count as rows of one id: of those that link one stays,
     also beside the document that stays by its doc_id, as a null is neither smaller nor larger.
     """
-    key = lambda df, mark: [F.coalesce(df["doc_id"].cast("long"), F.lit(-(1 << 62))).alias("__doc"), mark.alias("__mark")]
+    doc, mark, group, least, of = free_names(documents, "__doc", "__mark", "__group", "__least", "__of")
+    key = lambda df, of_text: [F.coalesce(df["doc_id"].cast("long"), F.lit(-(1 << 62))).alias(doc), of_text.alias(mark)]
     found = jaccard_components(documents, ngram, p, q, marks=True)
     found = found.select(*key(found, found["mark"]), "group", F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False)).alias("linked"))
-    gone, left = found.filter("linked").select("__doc", "__mark"), found.filter("not linked").select("__doc", "__mark", F.col("group").alias("__group"))
+    gone, left = found.filter("linked").select(doc, mark), found.filter("not linked").select(doc, mark, F.col("group").alias(group))
     # Ids with more than one row in a group, or without one: few. There the least mark of a group stays.
-    several = stored(left.groupBy("__doc", "__group").agg(F.min("__mark").alias("__least"), F.count("*").alias("n")).filter("n > 1").select("__doc", F.col("__group").alias("__of"), "__least"), "several")
+    several = stored(left.groupBy(doc, group).agg(F.min(mark).alias(least), F.count("*").alias("n")).filter("n > 1").select(doc, F.col(group).alias(of), least), "several")
     if several.limit(1).count():
-        both = left.join(small_side(several), (left["__doc"] == several["__doc"]) & left["__group"].eqNullSafe(several["__of"])).select(left["__doc"], "__mark", (F.col("__group").isNull() | (F.col("__mark") == F.col("__least"))).alias("stays"))
-        both = stored(both.groupBy("__doc", "__mark", "stays").count(), "both")
-        gone = gone.unionAll(both.filter("not stays").select("__doc", "__mark"))
-        again = stored(both.filter("stays and count > 1").select("__doc", "__mark"), "again")
+        both = left.join(small_side(several), (left[doc] == several[doc]) & left[group].eqNullSafe(several[of])).select(left[doc], mark, (F.col(group).isNull() | (F.col(mark) == F.col(least))).alias("stays"))
+        both = stored(both.groupBy(doc, mark, "stays").count(), "both")
+        gone = gone.unionAll(both.filter("not stays").select(doc, mark))
+        again = stored(both.filter("stays and count > 1").select(doc, mark), "again")
     gone = stored(gone.distinct(), "gone")
-    kept = documents.select("*", *key(documents, F.xxhash64(documents["text"]))).join(small_side(gone), ["__doc", "__mark"], "left_anti")
+    kept = documents.select("*", *key(documents, F.xxhash64(documents["text"]))).join(small_side(gone), [doc, mark], "left_anti")
     if several.limit(1).count() and again.limit(1).count():
         again = small_side(again)
-        kept = kept.join(again, ["__doc", "__mark"], "left_anti").unionByName(kept.join(again, ["__doc", "__mark"], "left_semi").dropDuplicates(["__doc", "__mark"]))
-    return kept.select(*documents.columns)
+        kept = kept.join(again, [doc, mark], "left_anti").unionByName(kept.join(again, [doc, mark], "left_semi").dropDuplicates([doc, mark]))
+    return kept.drop(doc, mark)

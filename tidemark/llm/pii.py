@@ -12,10 +12,13 @@ import datetime
 import functools
 import hashlib
 import re
-from collections.abc import Iterator
+import unicodedata
+import warnings
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm.common import free_names, with_columns_from
 
 ROUNDS = 8
 _DAY0, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
@@ -98,16 +101,30 @@ def _refill(shape: str, chars: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in shape)
 
 
+#: Area codes: none begins with 0 or 1 or is a service code (N11); and their numbers.
+_AREAS = [f"{i:03d}" for i in range(200, 1000) if i % 100 != 11]
+_AREA = {a: i for i, a in enumerate(_AREAS)}
+
+
+@functools.cache
+def _alphabet(c: str) -> str:
+    """The letters (or digits) that c is permuted among: those of its kind in its block of 256 code points; ASCII letters in either case."""
+    if c.isascii():
+        return "0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz"
+    block, kind = ord(c) & ~0xFF, unicodedata.category(c)
+    return "".join(x for x in map(chr, range(max(block, 0x80), block + 256)) if unicodedata.category(x) == kind)
+
+
 class Pseudonyms:
     """Finds values and gives their pseudonyms; back=True gives the values again."""
 
     KINDS = (
-        ("email", r"(?<![\w.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+        ("email", r"(?<![\w.+-])[\w.%+-]+@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,}"),
         ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
         ("ymd", r"(?<![\w.-])\d{4}([-/])\d{2}\1\d{2}(?![\w-])"),
         ("dmy", r"(?<![\w.-])\d{2}([./-])\d{2}\2\d{4}(?![\w-])"),
         ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"),
-        ("phone", r"(?<![\w+])(?:\+1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+1[ .-]\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w)"),
+        ("phone", r"(?<![\w+])(?:\+1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+1[ .-]\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w)|(?<![\w+.-])\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![\w-]|\.\d)"),
         ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
         ("card", r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w|-\d)"),
         ("secret", r"(?<!\w)(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}(?!\w)"),
@@ -138,8 +155,15 @@ class Pseudonyms:
         return _refill(value, body + luhn_digit(body))
 
     def _phone(self, value, plain, back):
-        own = self._digits(plain[-10:], "phone", back)
-        return _refill(value, plain[:-10] + own)
+        """Ten digits whose area code can be one; an exchange that can be dialled stays one that can."""
+        area, exchange, line = plain[-10:-7], plain[-7:-4], plain[-4:]
+        if area not in _AREA:
+            return None
+        low, n = (200, 800) if exchange[0] >= "2" else (0, 200)
+        x = (_AREA[area] * n + int(exchange) - low) * 10_000 + int(line)
+        x, line = divmod(self.feistel.permute(x, len(_AREAS) * n * 10_000, f"phone{low}", back), 10_000)
+        area, exchange = divmod(x, n)
+        return _refill(value, f"{plain[:-10]}{_AREAS[area]}{exchange + low:03d}{line:04d}")
 
     def _ssn(self, value, plain, back):
         ok = lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[3:5] != "00" and s[5:] != "0000"
@@ -198,22 +222,22 @@ class Pseudonyms:
         return None
 
     def _email(self, value, plain, back):
+        """The local part's letters and digits, each among those of its kind; the domain stays."""
         local, _, domain = value.partition("@")
-        radix = {c: 10 if c.isdigit() else 26 for c in local if c.isalnum()}
-        if not radix:
+        own = {c: _alphabet(c) for c in local if c.isalnum()}
+        if not own:
             return None
         n, x, shape = 1, 0, ""
         for c in local:
             if c.isalnum():
-                r = radix[c]
-                x, n = x * r + (int(c) if c.isdigit() else ord(c.lower()) - 97), n * r
-            shape += "9" if c.isdigit() else "a" if c.isalpha() else c
+                x, n = x * len(own[c]) + own[c].index(c.lower() if c.isascii() else c), n * len(own[c])
+            shape += "9" if c in "0123456789" else "a" if c.isascii() and c.isalpha() else f"{ord(c) >> 8}{unicodedata.category(c)}" if c.isalnum() else c
         x = self.feistel.permute(x, n, f"email{shape}@{domain.lower()}", back)
         out = ""
         for c in reversed(local):
             if c.isalnum():
-                x, d = divmod(x, radix[c])
-                c = str(d) if c.isdigit() else chr((65 if c.isupper() else 97) + d)
+                x, d = divmod(x, len(own[c]))
+                c = own[c][d].upper() if c.isascii() and c.isupper() else own[c][d]
             out = c + out
         return f"{out}@{domain}"
 
@@ -249,18 +273,30 @@ class Pseudonyms:
         return "".join(out) + text[done:], kinds
 
 
-def pseudonymised(documents: DataFrame, key: bytes, back: bool = False) -> DataFrame:
-    """documents, all columns and rows kept, with `text` replaced, and __kinds, the kinds of the values replaced in order.
+def configured_key(spark: SparkSession) -> bytes:
+    """The key that the deployment sets in spark.tidemark.pii.key, or else one for trials, which anybody can reverse."""
+    key = spark.conf.get("spark.tidemark.pii.key", None)
+    if not key:
+        warnings.warn("spark.tidemark.pii.key isn't set: pseudonyms are made with a key that everybody knows", stacklevel=2)
+        key = "tidemark example key"
+    return key.encode()
+
+
+def pseudonymised(documents: DataFrame, key: bytes, back: bool = False, kinds: str = "__kinds") -> DataFrame:
+    """documents, all columns and rows kept, with `text` replaced, and in the last column the kinds of the values replaced, in order.
 
-    Null and empty texts stay. The same key gives the same pseudonyms in every table and run.
+    That column is called `kinds`, lengthened by underscores if documents has such a column. Null and empty texts stay.
+    The same key gives the same pseudonyms in every table and run.
     """
+    (kinds,) = free_names(documents, kinds)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         own = Pseudonyms(key)
-        for batch in batches:
-            found = [own.replace(t, back) for t in batch.column("__text").to_pylist()]
-            columns = [pa.array([x for x, _ in found], pa.string()) if name == "text" else c for name, c in zip(batch.schema.names[:-1], batch.columns[:-1], strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([k for _, k in found], pa.list_(pa.string()))], [*batch.schema.names[:-1], "__kinds"])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in documents.schema)
-    return documents.select("*", documents["text"].alias("__text")).mapInArrow(run, f"{fields}, __kinds array<string>")
+        def run(texts: list[str | None]) -> list[pa.Array]:
+            found = [own.replace(t, back) for t in texts]
+            return [pa.array([x for x, _ in found], pa.string()), pa.array([k for _, k in found], pa.list_(pa.string()))]
+
+        return run
+
+    return with_columns_from(documents, "text", start, ["text", kinds], f"text string, {kinds} array<string>")

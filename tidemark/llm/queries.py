@@ -12,16 +12,15 @@ from tidemark.llm.decontam import contamination
 from tidemark.llm.langid import language_digests
 from tidemark.llm.packing import packed_documents
 from tidemark.llm.parity_join import jaccard_components
-from tidemark.llm.pii import pseudonymised
+from tidemark.llm.pii import configured_key, pseudonymised
 from tidemark.llm.sharding import sharded
 from tidemark.llm.token_planes import token_digests
 from tidemark.llm.topk import top_k
 from tidemark.llm.url_filter import judged
 from tidemark.llm.warc import round_trip
 
-#: The urls' rules, and the key of the pseudonyms that the query and the pipeline give (a deployment has its own).
+#: The urls' rules.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("allow", "com/fr/"), ("block", "example.org/en/1"), ("block", "com/de/"))
-KEY = b"tidemark example key"
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +40,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with keyed pseudonyms for validated numbers and dates."""
-    found = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+    found = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), configured_key(spark))
     return found.select("doc_id", "text", F.size("__kinds").cast("long").alias("n_pseudonyms"), F.array_join("__kinds", ",").alias("kinds"))
 
 
