@@ -71,8 +71,8 @@ def lean(run):
     """A batch function that gives freed memory back to the system when its task ends: workers live on between tasks and stages."""
 
     def task(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # the others keep what is freed for later use
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # where there is no glibc
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 

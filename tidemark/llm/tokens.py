@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ class ChunkEncoder:
 
     def __init__(self, path: str, keep: int = 1_000_000):
         self.keep = keep
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tok = Tokenizer.from_file(path)
         n = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
