@@ -480,6 +480,88 @@ def test_templates_generalise(spark):
     assert out[105].rule is None and out[105].template == "/spam/*" and out[105].verdict == "block"
 
 
+def plain_verdicts(urls, rules):
+    """The tree in plain Python: (template, purity) of each (host, path), and of each its rule's verdict."""
+    rows, labels = set(), collections.Counter()
+    for host, path in urls:
+        fits = [(len(t), v) for v, t in rules for h, _, r in [t.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + r)]
+        rows.add((host, path))
+        if fits:
+            labels[host, path, max(fits)[1] == "block"] += 1
+    template = {x: x[1].rstrip("/").split("/") for x in rows}
+    for level in range(1, max(map(len, template.values()))):
+        own = collections.defaultdict(set)
+        for (host, _), t in template.items():
+            if len(t) > level:
+                own[host, tuple(t[:level])].add(t[level])
+        for (host, _), t in template.items():
+            if len(t) > level and (len(c := own[host, tuple(t[:level])]) > url_filter.FAN or len(c) >= url_filter.FEW and sum(bool(re.search("[0-9]", x)) for x in c) >= url_filter.DIGITS * len(c)):
+                t[level] = "*"
+    sums = collections.defaultdict(lambda: [0, 0])
+    for (host, path), t in template.items():
+        for level in range(len(t)):
+            for bad in (False, True):
+                sums[host, tuple(t[: level + 1])][0] += labels[host, path, bad]
+            sums[host, tuple(t[: level + 1])][1] += labels[host, path, True]
+    rate = lambda n, b: (b + 0.5) / (n + 1)
+    spread = lambda n, b: rate(n, b) * (1 - rate(n, b)) / (n + 1)
+    groups = collections.defaultdict(list)
+    for (host, node), (n, b) in sums.items():
+        if n:
+            groups[host, node[:-1]].append((rate(n, b), "/".join(node), node, n, b))
+    pooled = {}
+    for (host, _), members in groups.items():
+        branches = []
+        for r, _, node, n, b in sorted(members):
+            if branches and r - rate(*branches[-1][0]) <= url_filter.Z * (spread(*branches[-1][0]) + spread(n, b)) ** 0.5:
+                branches[-1][0][0] += n
+                branches[-1][0][1] += b
+                branches[-1][1].append(node)
+            else:
+                branches.append(([n, b], [node]))
+        pooled.update({(host, node): sums_ for sums_, nodes in branches for node in nodes})
+    out = {}
+    for (host, path), t in template.items():
+        purity = sum(n for (_, _, bad), n in labels.items() if bad) / len(urls)
+        for level in range(len(t)):
+            if (x := pooled.get((host, tuple(t[: level + 1])))) is not None:
+                weight = url_filter.TEMPLATE_PRIOR if level else url_filter.HOST_PRIOR
+                purity = (x[1] + weight * purity) / (x[0] + weight)
+        out[host, path] = "/".join(t), round(purity, 6)
+    return out
+
+
+def test_the_tree_against_plain_python(spark):
+    """Wildcards on several levels, siblings that merge and that don't, templates without labels of their own, very deep paths."""
+    rng = np.random.default_rng(3)
+    urls = [("a.com", f"/{x}/{y}/{z}") for x in ("shop", "news") for y in ("de", "fr", "it") for z in rng.integers(0, 500, 12)]
+    urls += [("a.com", f"/u/{''.join(rng.choice(list('abcdefgh'), 4))}/p{i % 3}") for i in range(120)] + [("a.com", "/deep" + "/x" * 12), ("a.com", ""), ("a.com", "/"), ("b.com", "/x"), ("b.com", "/bad/1"), ("c.org", "/y/z/")]
+    urls += [("m.a.com", f"/bad/{k}/{i}") for k in "abcde" for i in range(k == "a" and 40 or 3)] + [("m.a.com", f"/free/{i}") for i in range(9)]
+    rules = [("block", "a.com/shop/de/"), ("allow", "a.com/news/fr"), ("block", "a.com/bad/a"), ("allow", "a.com/bad/b"), ("block", "b.com/bad"), ("allow", "a.com/u/a"), ("block", "a.com/u/b")]
+    df = spark.createDataFrame([(i, f"http://{h}{p}?q") for i, (h, p) in enumerate(urls)], "page_id long, url string")
+    got = {(r.host, r.path): r for r in url_filter.judged(df, rules).collect()}
+    want = plain_verdicts(urls, rules)
+    assert {k: (r.template, r.purity) for k, r in got.items()} == want
+    free = [r for r in got.values() if r.rule is None]
+    assert all(r.verdict == ("block" if r.purity >= 0.5 else "allow") for r in free)
+    assert {r.verdict for r in free if r.host == "m.a.com" and r.path.startswith("/free/")} == {"block"}  # by its host's labels, having none
+    assert {r.verdict for r in free if r.host == "m.a.com" and r.path.startswith("/bad/c")} == {"block"} and got["c.org", "/y/z/"].verdict == "allow"
+
+
+def test_deeper_levels_are_one_segment(spark):
+    path = "/a" * 40
+    r = url_filter.judged(spark.createDataFrame([(1, "http://h" + path)], "page_id long, url string"), [("block", "h/a")]).first()
+    assert (r.path, r.template, r.verdict) == (path, path, "block")
+
+
+def test_urls_without_a_rule_are_blocked_by_their_host(spark, data):
+    """On the pages, where no url outside the rules has labels in its own branch, the parents' purity decides."""
+    rows = q.op2_url_filter(spark, data.replace("sf0.001", "sf0.01")).collect()  # the smallest has no such host
+    want = plain_verdicts([(r.host, r.path) for r in rows], q.RULES)
+    assert all((r.template, r.purity) == want[r.host, r.path] and (r.rule or r.verdict == ("block" if r.purity >= 0.5 else "allow")) for r in rows)
+    assert {r.host for r in rows if not r.rule and r.verdict == "block"}
+
+
 def test_warc_edges(spark):
     html = "<p>same</p>" * 20
     rows = [(1, "http://a/", html), (2, "http://b/\r\nX: y", html), (2, "http://b/", html), (3, None, None), (4, "u", ""), (5, "é", "short"), (6, "u", "short"), (None, "n", html), (7, "u", "é" * 60), (8, "u", "é" * 60)]

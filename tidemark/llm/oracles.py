@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm.url_filter import FAN, HOST_PRIOR, LEVELS, LOWER, TEMPLATE_PRIOR, UPPER, Z
+from tidemark.llm.url_filter import DEPTH, DIGITS, FAN, FEW, HOST_PRIOR, LOWER, TEMPLATE_PRIOR, UPPER, Z
 
 TOPK = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE vec_id IS NOT NULL),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
@@ -17,30 +17,36 @@ def url_filter(rules) -> str:
         cases.append((f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')", text, verdict))
     rule = "CASE " + " ".join(f"WHEN {c} THEN '{t}'" for c, t, _ in cases) + " END"
     said = "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, _, v in cases) + " END"
-    levels, last = "", "t1"
-    for n in range(2, LEVELS + 2):
+    levels, last = "", "t0"
+    for n in range(1, DEPTH + 1):  # segs[n + 1] is the segment of level n
         levels += f"""
-a{n} AS (SELECT *, array_to_string(segs[1:{n - 1}], '/') AS node, segs[{n}] AS own FROM {last}),
-f{n} AS (SELECT host, node FROM a{n} WHERE own IS NOT NULL GROUP BY host, node HAVING count(DISTINCT own) > {FAN}),
-t{n} AS (SELECT a.host, a.shape, a.labelled, a.blocked, CASE WHEN f.host IS NULL THEN segs ELSE list_transform(segs, lambda s, i: CASE WHEN i = {n} THEN '*' ELSE s END) END AS segs FROM a{n} a LEFT JOIN f{n} f ON a.host = f.host AND a.node = f.node),"""
+a{n} AS (SELECT *, array_to_string(segs[1:{n}], '/') AS node, segs[{n + 1}] AS own FROM {last}),
+f{n} AS (SELECT host, node FROM (SELECT DISTINCT host, node, own FROM a{n} WHERE own IS NOT NULL) GROUP BY host, node HAVING count(*) > {FAN} OR (count(*) >= {FEW} AND count(*) FILTER (regexp_matches(own, '[0-9]')) >= {DIGITS} * count(*))),
+t{n} AS (SELECT a.host, a.path, a.labelled, a.blocked, CASE WHEN f.host IS NULL THEN segs ELSE list_transform(segs, lambda s, i: CASE WHEN i = {n + 1} THEN '*' ELSE s END) END AS segs FROM a{n} a LEFT JOIN f{n} f ON a.host = f.host AND a.node = f.node),"""
         last = f"t{n}"
-    return f"""WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    rate = lambda b, n: f"(({b} + 0.5e0) / ({n} + 1))"
+    spread = lambda b, n: f"({rate(b, n)} * (1 - {rate(b, n)}) / ({n} + 1))"
+    apart = f"s.rate - {rate('w.b', 'w.l')} > {Z}::DOUBLE * sqrt({spread('w.b', 'w.l')} + {spread('s.blocked', 's.labelled')})"
+    return f"""WITH RECURSIVE u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, coalesce(regexp_extract(rest, '^[^/?#]*'), '') AS raw, coalesce(rest, '') AS rest FROM u),
 p0 AS (SELECT page_id, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
-p AS (SELECT *, {rule} AS rule, {said} AS said, regexp_replace(regexp_replace(path, '[^/]*[0-9][^/]*', '*', 'g'), '/+$', '') AS shape FROM p0),
-c AS (SELECT host, shape, count(said) AS labelled, count(*) FILTER (said = 'block') AS blocked FROM p GROUP BY 1, 2),
-base AS (SELECT CASE WHEN sum(labelled) > 0 THEN CAST(sum(blocked) AS DOUBLE) / CAST(sum(labelled) AS DOUBLE) ELSE 0.0 END AS base FROM c),
-hosts AS (SELECT host, (CAST(sum(blocked) AS DOUBLE) + {HOST_PRIOR} * base) / (CAST(sum(labelled) AS DOUBLE) + {HOST_PRIOR}) AS host_rate FROM c, base GROUP BY host, base),
-t1 AS (SELECT host, shape, labelled, blocked, string_split(shape, '/') AS segs FROM c),{levels}
-tree AS (SELECT host, shape, labelled, blocked, array_to_string(segs, '/') AS template FROM {last}),
-b0 AS (SELECT host, template, CAST(sum(labelled) AS DOUBLE) AS labelled, CAST(sum(blocked) AS DOUBLE) AS blocked FROM tree GROUP BY 1, 2),
-b1 AS (SELECT *, coalesce(string_split(template, '/')[2], '') AS first, array_to_string(string_split(template, '/')[3:], '/') AS rest, (blocked + 0.5) / (labelled + 1) AS rate FROM b0),
-b2 AS (SELECT *, rate * (1 - rate) / (labelled + 1) AS spread FROM b1),
-b3 AS (SELECT *, CASE WHEN rate - lag(rate) OVER w > {Z} * sqrt(spread + lag(spread) OVER w) THEN 1 ELSE 0 END AS cut FROM b2 WINDOW w AS (PARTITION BY host, rest, labelled > 0 ORDER BY rate, first)),
-b4 AS (SELECT *, sum(cut) OVER (PARTITION BY host, rest, labelled > 0 ORDER BY rate, first ROWS UNBOUNDED PRECEDING) AS branch FROM b3),
-b5 AS (SELECT host, template, sum(labelled) OVER g AS labelled, labelled > 0 AS known, sum(blocked) OVER g AS blocked FROM b4 WINDOW g AS (PARTITION BY host, rest, labelled > 0, branch)),
-pure AS (SELECT t.host, t.shape, t.template, b.known, (b.blocked + {TEMPLATE_PRIOR} * host_rate) / (b.labelled + {TEMPLATE_PRIOR}) AS purity FROM tree t JOIN b5 b USING (host, template) JOIN hosts USING (host))
-SELECT page_id, p.host, p.path, p.rule, coalesce(said, CASE WHEN known AND purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity FROM p JOIN pure ON p.host = pure.host AND p.shape = pure.shape"""
+p AS (SELECT *, {rule} AS rule, {said} AS said FROM p0),
+c AS (SELECT host, path, CAST(count(*) AS DOUBLE) AS n, CAST(count(said) AS DOUBLE) AS labelled, CAST(count(*) FILTER (said = 'block') AS DOUBLE) AS blocked, string_split(regexp_replace(path, '/+$', ''), '/') AS s FROM p GROUP BY 1, 2),
+base AS (SELECT CASE WHEN sum(n) > 0 THEN sum(blocked) / sum(n) ELSE 0.0 END AS base FROM c),
+t0 AS (SELECT host, path, labelled, blocked, CASE WHEN len(s) <= {DEPTH + 1} THEN s ELSE list_append(s[1:{DEPTH}], array_to_string(s[{DEPTH + 1}:], '/')) END AS segs FROM c),{levels}
+tree AS (SELECT host, segs, sum(labelled) AS labelled, sum(blocked) AS blocked FROM {last} GROUP BY 1, 2),
+lev AS (SELECT *, array_to_string(segs[1:level + 1], '/') AS node, CASE WHEN level > 0 THEN array_to_string(segs[1:level], '/') ELSE '!' END AS parent FROM (SELECT *, unnest(range(len(segs))) AS level FROM tree)),
+n0 AS (SELECT host, level, parent, node, sum(labelled) AS labelled, sum(blocked) AS blocked FROM lev GROUP BY 1, 2, 3, 4 HAVING sum(labelled) > 0),
+n AS (SELECT *, {rate('blocked', 'labelled')} AS rate, row_number() OVER (PARTITION BY host, level, parent ORDER BY {rate('blocked', 'labelled')}, node) AS i FROM n0),
+w(host, level, parent, node, i, branch, l, b, own_l, own_b) AS (SELECT host, level, parent, node, i, 0, labelled, blocked, labelled, blocked FROM n WHERE i = 1
+  UNION ALL SELECT s.host, s.level, s.parent, s.node, s.i, CASE WHEN {apart} THEN w.branch + 1 ELSE w.branch END, CASE WHEN {apart} THEN s.labelled ELSE w.l + s.labelled END, CASE WHEN {apart} THEN s.blocked ELSE w.b + s.blocked END, s.labelled, s.blocked
+  FROM w JOIN n s ON s.host = w.host AND s.level = w.level AND s.parent = w.parent AND s.i = w.i + 1),
+br AS (SELECT host, level, node, sum(own_l) OVER g AS labelled, sum(own_b) OVER g AS blocked FROM w WINDOW g AS (PARTITION BY host, level, parent, branch)),
+pure(host, segs, level, purity) AS (SELECT t.host, t.segs, CAST(-1 AS BIGINT), base FROM tree t, base
+  UNION ALL SELECT q.host, q.segs, q.level + 1, CASE WHEN br.host IS NULL THEN q.purity ELSE (br.blocked + CASE WHEN q.level < 0 THEN {HOST_PRIOR}.0 ELSE {TEMPLATE_PRIOR}.0 END::DOUBLE * q.purity) / (br.labelled + CASE WHEN q.level < 0 THEN {HOST_PRIOR}.0 ELSE {TEMPLATE_PRIOR}.0 END::DOUBLE) END
+  FROM pure q LEFT JOIN br ON br.host = q.host AND br.level = q.level + 1 AND br.node = array_to_string(q.segs[1:q.level + 2], '/') WHERE q.level + 1 < len(q.segs)),
+v AS (SELECT t.host, t.path, array_to_string(t.segs, '/') AS template, purity FROM {last} t JOIN pure q ON q.host = t.host AND q.segs = t.segs AND q.level = len(t.segs) - 1)
+SELECT page_id, p.host, p.path, p.rule, coalesce(said, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity FROM p JOIN v ON p.host = v.host AND p.path = v.path"""
 
 
 def _words(text: str) -> str:
