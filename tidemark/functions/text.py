@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from tidemark.functions.stem import stem
 
 #: Words that a query is searched without; fixed values.
 STOP_WORDS = (
-    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on",
-    "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
+    "a", "an", "and", "are", "as", "at", "be", "been", "being", "but", "by", "can", "could", "did", "do", "does", "for",
+    "from", "had", "has", "have", "he", "her", "here", "hers", "him", "his", "how", "i", "if", "in", "into", "is", "it",
+    "its", "may", "me", "might", "must", "my", "no", "nor", "not", "of", "on", "or", "our", "shall", "she", "should",
+    "so", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "to", "us", "was",
+    "we", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "would", "you", "your",
 )
 
 #: Letters that fold to two.
@@ -52,10 +61,23 @@ def duck_tokens(expr: str) -> str:
     return f"list_filter(string_split(regexp_replace(coalesce(lower({out}), ''), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '')"
 
 
-def query_tokens(text: str, keep_stop_words: bool = False) -> list[str]:
-    """Tokens of a query, on the driver; without stop words unless there is nothing else."""
+@F.arrow_udf(ArrayType(StringType()))
+def _stemmed(words: pa.Array) -> pa.Array:
+    coded = words.flatten().dictionary_encode()
+    stems = pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy()))), pa.int32()), stems.take(coded.indices))
+
+
+def stems(text: Column) -> Column:
+    """tokens(text), each stemmed by the English stemmer; each different word of a batch once."""
+    return _stemmed(tokens(text))
+
+
+def query_tokens(text: str, keep_stop_words: bool = False, stemmed: bool = False) -> list[str]:
+    """Tokens of a query, on the driver; without stop words unless there is nothing else. Words are stemmed before stop words go."""
     table = fold_table() | _PAIRS
     plain = "".join(table.get(c, "" if c in DASHES else c) for c in text).lower()
     words = "".join(c if c.isascii() and c.isalnum() else " " for c in plain).split()
+    words = [stem(w) for w in words] if stemmed else words
     kept = [w for w in words if w not in STOP_WORDS]
     return words if keep_stop_words or not kept else kept

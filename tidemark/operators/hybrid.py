@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from tidemark.operators.relations import parse_filters
 MODES = ("lexical_only", "hybrid_or_fallback", "hybrid_strict")
 
 
-def hybrid_search(sections: DataFrame, text: str, k: int = 10, mode: str = "hybrid_or_fallback", semantic: DataFrame | None = None, mass: DataFrame | None = None, alpha: float = 0.5, beta: float = 0.4, metadata: Sequence[str] = ()) -> tuple[DataFrame, str | None]:
+def hybrid_search(sections: DataFrame, text: str, k: int = 10, mode: str = "hybrid_or_fallback", semantic: DataFrame | None = None, mass: DataFrame | None = None, alpha: float = 0.5, beta: float = 0.4, metadata: Sequence[str] = (), stemmed: bool = True) -> tuple[DataFrame, str | None]:
     """(id, score, rank) of a query and a warning, if there is one.
 
     Filters in the text (`field:value`) narrow the sections before they are scored; a text of filters alone returns ids in
@@ -35,8 +36,8 @@ def hybrid_search(sections: DataFrame, text: str, k: int = 10, mode: str = "hybr
         if mode == "hybrid_strict":
             raise ValueError("hybrid search needs vectors")
         warning = "no vectors: the result is lexical"
-    want, drop = search.split_query(rest)
-    spark, p = sections.sparkSession, search.postings(allowed)
+    want, drop = search.split_query(rest, stemmed)
+    spark, p = sections.sparkSession, search.postings(allowed, stemmed=stemmed)
     q = spark.createDataFrame([(0, t, want.count(t)) for t in dict.fromkeys(want)], "query int, term string, times long")
     lexical = search.bm25(p, q)
     none = spark.createDataFrame([], "query int, id long, score double")
@@ -45,7 +46,7 @@ def hybrid_search(sections: DataFrame, text: str, k: int = 10, mode: str = "hybr
     skg = none if mass is None else mass.join(ids, "id", "left_semi").select(F.lit(0).alias("query"), "id", F.col("mass").alias("score"))
     found = search.blend(lexical, sem, skg, alpha, beta)
     if drop:
-        found = found.join(p.terms.filter(F.col("term").isin(*drop)).select("id").distinct(), "id", "left_anti")
+        found = found.join(p.words.filter(F.col("term").isin(*drop)).select("id").distinct(), "id", "left_anti")
     return search.top(found, k).select("id", "score", "rank"), warning
 
 
@@ -72,7 +73,7 @@ def bitmap_overlap(bits: DataFrame, one: str, other: str) -> DataFrame:
 
 def regex_tags(sections: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """(id, tag, start, text): the longest match of each pattern at each place where one starts; matches may overlap."""
-    compiled = {tag: re.compile(p) for tag, p in patterns.items()}
+    compiled = {tag: regex.compile(p, regex.POSIX) for tag, p in patterns.items()}  # the longest match, not the first alternative's
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

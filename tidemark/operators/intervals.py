@@ -30,7 +30,7 @@ def episodes(telemetry: DataFrame, predicate: Column, width: int, hold: str, rul
     """Alert documents of a rule: (id, entity, kind, ts_start, ts_end, title, body).
 
     An episode is a run of adjacent true buckets; it opens once it has lasted `hold`. The message is that of the opening
-    bucket. Within an hour of opening times at most max_per_hour episodes of an entity raise a document.
+    bucket. Within an hour of opening times the first max_per_hour episodes of all entities raise a document.
     """
     need = max(1, -(-duration_ns(hold) // (width * 10**9)))
     w = Window.partitionBy("entity").orderBy("bucket")
@@ -40,7 +40,7 @@ def episodes(telemetry: DataFrame, predicate: Column, width: int, hold: str, rul
     opening = F.max(F.when(F.col("bucket") == F.col("b0") + need - 1, F.col("message")))
     runs = hits.groupBy("entity", "b0").agg(F.max("bucket").alias("b1"), opening.alias("message"))
     opened = runs.filter(F.col("b1") - F.col("b0") + 1 >= need).withColumn("opening", F.col("b0") + need - 1)
-    opened = opened.withColumn("at", bucket_start(F.col("opening"), width)).withColumn("nth", F.row_number().over(Window.partitionBy("entity", F.date_trunc("hour", "at")).orderBy("opening")))
+    opened = opened.withColumn("at", bucket_start(F.col("opening"), width)).withColumn("nth", F.row_number().over(Window.partitionBy(F.date_trunc("hour", "at")).orderBy("opening", "entity")))
     shown = opened.filter(F.col("nth") <= max_per_hour)
     start = bucket_start(F.col("b0"), width)
     return shown.select(

@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import tokens
+from tidemark.functions.text import query_tokens, tokens
+from tidemark.scratch import small_side, stored
 
 MIN_JACCARD = 0.1
 
@@ -20,7 +21,7 @@ def tag(sections: DataFrame, dictionary: dict[str, str], longest_only: bool = Tr
     """
     phrases: dict[tuple[str, ...], set[str]] = {}
     for phrase, action in dictionary.items():
-        words = tuple(phrase.lower().split())
+        words = tuple(query_tokens(phrase, keep_stop_words=True))
         phrases.setdefault(words, set()).add(action or "".join(c for c in phrase.upper() if c.isalnum()))
     most = max(map(len, phrases), default=0)
 
@@ -44,6 +45,23 @@ def tag(sections: DataFrame, dictionary: dict[str, str], longest_only: bool = Tr
     return sections.select("id", tokens(F.col("body")).alias("words")).mapInArrow(run, "id long, tags array<string>")
 
 
+def tag_by_table(sections: DataFrame, phrases: DataFrame, longest_only: bool = True) -> DataFrame:
+    """tag() for a dictionary that is a table, phrases(phrase, action): runs of tokens are joined with it, so neither side meets the driver."""
+    d = phrases.select(F.array_join(tokens(F.col("phrase")), " ").alias("run"), "action").filter("run != ''").groupBy("run").agg(F.collect_set("action").alias("actions"))
+    d = stored(d.withColumn("n", F.size(F.split("run", " "))), "phrases")
+    sizes = [r.n for r in d.select("n").distinct().collect()]  # lengths of phrases
+    words = sections.select("id", tokens(F.col("body")).alias("words"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice("words", i, n), " ").alias("run")))
+    none = F.lit([]).cast("array<struct<at:int,n:int,run:string>>")
+    every = F.concat(none, *[F.when(F.size("words") >= n, runs(n)).otherwise(none) for n in sizes])
+    hits = words.select("id", F.explode(every).alias("r")).select("id", "r.at", F.col("r.run").alias("run")).join(small_side(d), "run")
+    hits = hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("less"), "actions"))).alias("hits"))
+    zero = F.struct(F.lit(0).alias("free"), F.lit([]).cast("array<string>").alias("tags"))
+    step = lambda a, h: F.when(h["at"] < a["free"], a).otherwise(F.struct((h["at"] - h["less"] if longest_only else F.lit(0)).cast("int").alias("free"), F.concat(a["tags"], h["actions"]).alias("tags")))
+    tagged = hits.select("id", F.array_sort(F.array_distinct(F.aggregate("hits", zero, step)["tags"])).alias("tags"))
+    return sections.select("id").join(tagged, "id", "left").select("id", F.coalesce("tags", F.lit([]).cast("array<string>")).alias("tags"))
+
+
 def tag_pruned(candidates: DataFrame, tagged: DataFrame, query_tags: list[str]) -> DataFrame:
     """Candidates whose section has every tag of the query; a tag that no section has leaves none."""
     need = F.array(*map(F.lit, query_tags)).cast("array<string>")

@@ -6,11 +6,14 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.clock import bucket_of
-from tidemark.functions.text import STOP_WORDS, query_tokens, tokens
+from tidemark.functions.text import STOP_WORDS, query_tokens, stems, tokens
+from tidemark.scratch import small_side, stored
 
 K1, B, DELTA = 1.2, 0.75, 1.0
 FIELD_WEIGHTS = {"title": 2.0, "body": 1.0}
@@ -18,18 +21,25 @@ FIELD_WEIGHTS = {"title": 2.0, "body": 1.0}
 
 @dataclass
 class Postings:
-    """terms(field, term, id, tf) and lengths(field, id, len), over documents(id, fields...); `group` columns split the statistics."""
+    """words(id, group..., field, len, term), a row a token, and stats(group..., field, n, avgdl), over documents(id, fields...); `group` columns split the statistics."""
 
-    terms: DataFrame
-    lengths: DataFrame
+    words: DataFrame
+    stats: DataFrame
     group: list[str]
+    stemmed: bool
 
+    def of(self, terms: DataFrame) -> DataFrame:
+        """(group..., field, term, id, len, tf) of terms(term): other tokens go before anything is grouped or moved."""
+        few = small_side(terms.select("term").distinct())
+        return self.words.join(few, "term", "left_semi").groupBy(*self.group, "field", "term", "id", "len").agg(F.count("*").alias("tf"))
 
-def postings(documents: DataFrame, fields: Sequence[str] = ("title", "body"), group: Sequence[str] = ()) -> Postings:
-    parts = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("tokens")) for f in fields]))
-    flat = documents.select("id", *group, parts.alias("p")).select("id", *group, "p.field", "p.tokens")
-    terms = flat.select("id", *group, "field", F.explode("tokens").alias("term")).groupBy(*group, "field", "term", "id").agg(F.count("*").alias("tf"))
-    return Postings(terms, flat.select("id", *group, "field", F.size("tokens").cast("long").alias("len")), [*group])
+
+def postings(documents: DataFrame, fields: Sequence[str] = ("title", "body"), group: Sequence[str] = (), stemmed: bool = True) -> Postings:
+    own = stems if stemmed else tokens
+    parts = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), own(F.col(f)).alias("tokens")) for f in fields]))
+    flat = documents.select("id", *group, parts.alias("p")).select("id", *group, "p.field", "p.tokens", F.size("p.tokens").cast("long").alias("len"))
+    stats = flat.groupBy(*group, "field").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    return Postings(flat.select("id", *group, "field", "len", F.explode("tokens").alias("term")), stats, [*group], stemmed)
 
 
 def bm25(p: Postings, queries: DataFrame, variant: str = "classic", coverage_floor: float = 1.0, weights: dict[str, float] | None = None) -> DataFrame:
@@ -37,15 +47,15 @@ def bm25(p: Postings, queries: DataFrame, variant: str = "classic", coverage_flo
 
     Each field has its own idf, max(0, ln((N - df + 0.5) / (df + 0.5) + 1)), and mean length; a repeated query term
     counts as often as it stands. variant is classic, plus or l. With coverage_floor below 1, scores are scaled by
-    floor + (1 - floor) * matched share of distinct terms. Only postings of query terms leave their tasks.
+    floor + (1 - floor) * matched share of distinct terms. Only postings of query terms leave their tasks; they are
+    written once to the shared folder. Tables of queries and frequencies are broadcast if they are counted small.
     """
     g, w = p.group, weights or FIELD_WEIGHTS
-    wanted = p.terms.join(F.broadcast(queries.select("term").distinct()), "term")  # terms of a few queries
-    stats = p.lengths.groupBy(*g, "field").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    df = wanted.groupBy(*g, "field", "term").agg(F.count("*").alias("df")).join(stats, [*g, "field"])
+    wanted = stored(p.of(queries), "postings")
+    df = wanted.groupBy(*g, "field", "term").agg(F.count("*").alias("df")).join(p.stats, [*g, "field"])
     idf = F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-    df = df.withColumn("idf", idf)
-    rows = wanted.join(df, [*g, "field", "term"]).join(p.lengths, [*g, "field", "id"])
+    df = stored(df.withColumn("idf", idf), "frequencies")
+    rows = wanted.join(small_side(df), [*g, "field", "term"])
     norm = F.when(F.col("avgdl") > 0, 1 - B + B * F.col("len") / F.col("avgdl")).otherwise(F.lit(1.0))
     tf = F.col("tf").cast("double")
     if variant == "l":
@@ -55,19 +65,19 @@ def bm25(p: Postings, queries: DataFrame, variant: str = "classic", coverage_flo
         gain = tf * (K1 + 1) / (tf + K1 * norm) + (DELTA if variant == "plus" else 0.0)
     weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(x)) for f, x in w.items()])
     one = rows.select(*g, "id", "term", (weight * F.col("idf") * gain).alias("part")).groupBy(*g, "id", "term").agg(F.sum("part").alias("part"))
-    out = one.join(F.broadcast(queries), "term").groupBy("query", *g, "id").agg(F.sum(F.col("part") * F.col("times")).alias("score"), F.count("*").alias("matched"))
+    out = one.join(small_side(queries), "term").groupBy("query", *g, "id").agg(F.sum(F.col("part") * F.col("times")).alias("score"), F.count("*").alias("matched"))
     if coverage_floor < 1:
         size = queries.groupBy("query").agg(F.countDistinct("term").alias("size"))
-        out = out.join(F.broadcast(size), "query").withColumn("score", F.col("score") * (coverage_floor + (1 - coverage_floor) * F.col("matched") / F.col("size")))
+        out = out.join(small_side(size), "query").withColumn("score", F.col("score") * (coverage_floor + (1 - coverage_floor) * F.col("matched") / F.col("size")))
     return out.select("query", *g, "id", "score")
 
 
-def query_table(questions: DataFrame, query: str, text: str) -> DataFrame:
-    """(query, term, times) of a table of questions: tokens without stop words, unless a question has nothing else."""
-    words = tokens(F.col(text))
-    kept = F.filter(words, lambda t: ~t.isin(*STOP_WORDS))
-    chosen = F.when(F.size(kept) > 0, kept).otherwise(words)
-    return questions.select(F.col(query).alias("query"), F.explode(chosen).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
+def query_table(questions: DataFrame, query: str, text: str, stemmed: bool = True) -> DataFrame:
+    """(query, term, times) of a table of questions: tokens (or stems) without stop words, unless a question has nothing else."""
+    rows = questions.select(F.col(query).alias("query"), (stems if stemmed else tokens)(F.col(text)).alias("words"))
+    kept = F.filter("words", lambda t: ~t.isin(*STOP_WORDS))
+    chosen = F.when(F.size(kept) > 0, kept).otherwise(F.col("words"))
+    return rows.select("query", F.explode(chosen).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
 
 
 def top(scored: DataFrame, k: int, by: Sequence[str] = ("query",), score: str = "score") -> DataFrame:
@@ -76,8 +86,8 @@ def top(scored: DataFrame, k: int, by: Sequence[str] = ("query",), score: str =
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def split_query(text: str) -> tuple[list[str], list[str]]:
-    """Wanted and excluded tokens: `-word` and `NOT word` exclude; excluding a stop word does nothing."""
+def split_query(text: str, stemmed: bool = False) -> tuple[list[str], list[str]]:
+    """Wanted and excluded tokens (or stems): `-word` and `NOT word` exclude; excluding a stop word does nothing."""
     keep, drop, negate = [], [], False
     for part in text.split():
         if part == "NOT":
@@ -86,20 +96,20 @@ def split_query(text: str) -> tuple[list[str], list[str]]:
         minus = part.startswith("-") and len(part) > 1
         (drop if minus or negate else keep).append(part[1:] if minus else part)
         negate = False
-    return query_tokens(" ".join(keep)), [t for t in query_tokens(" ".join(drop), keep_stop_words=True) if t not in STOP_WORDS]
+    return query_tokens(" ".join(keep), stemmed=stemmed), [t for t in query_tokens(" ".join(drop), True, stemmed) if t not in STOP_WORDS]
 
 
-def search(documents: DataFrame, text: str, k: int = 10, **how) -> DataFrame:
-    """(id, score, rank) of a query with NOT; a query of exclusions alone finds nothing."""
-    spark, p = documents.sparkSession, postings(documents)
-    want, drop = split_query(text)
+def search(documents: DataFrame, text: str, k: int = 10, stemmed: bool = True, **how) -> DataFrame:
+    """(id, score, rank) of a query with NOT; a query of exclusions alone finds nothing. Words match by their stems unless told otherwise."""
+    spark, p = documents.sparkSession, postings(documents, stemmed=stemmed)
+    want, drop = split_query(text, stemmed)
     if not want:
         return spark.createDataFrame([], "id long, score double, rank int")
     times = {t: want.count(t) for t in want}
     q = spark.createDataFrame([(0, t, n) for t, n in times.items()], "query int, term string, times long")
     found = bm25(p, q, **how)
     if drop:
-        found = found.join(p.terms.filter(F.col("term").isin(*drop)).select("id").distinct(), "id", "left_anti")
+        found = found.join(p.words.filter(F.col("term").isin(*drop)).select("id").distinct(), "id", "left_anti")
     return top(found, k).select("id", "score", "rank")
 
 
@@ -133,36 +143,40 @@ def match_docs(docs: DataFrame, text: str) -> DataFrame:
     words = query_tokens(re.sub(r"\b(AND|OR)\b", " ", text))
     q = spark.createDataFrame([(0, t, words.count(t)) for t in dict.fromkeys(words)], "query int, term string, times long")
     hits = docs.filter(text_condition(F.col("body"), text))
-    scored = bm25(postings(docs, ("body",), ("entity", "kind")), q)
+    scored = bm25(postings(docs, ("body",), ("entity", "kind"), stemmed=False), q)
     return hits.join(scored.select("entity", "kind", "id", "score"), ["entity", "kind", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, id, cosine): exact, over all vectors(id, vector); ties by id. Blocks of vectors meet all queries of a block in numpy."""
-    import numpy as np
-    import pandas as pd
+#: Vectors and queries that one task compares at a time.
+VECTOR_BLOCK, QUERY_BLOCK = 4096, 1024
 
-    spread = 16
-    left = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q"), F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int").alias("qb"))
-    right = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(4 * spread)).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("qb"))
 
-    def unit(x: pd.Series) -> np.ndarray:
-        m = np.stack([np.asarray(v, np.float64) for v in x])
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, id, cosine): exact, over all vectors(id, vector); ties by id. Each block of vectors meets each block of queries in numpy; blocks are of a fixed size, however large the tables."""
+    deals, blocks = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = queries.select("id", F.col("vector").cast("array<double>").alias("vector"), part(deals).alias("deal"), every(blocks).alias("block"))
+    right = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"), part(blocks).alias("block"), every(deals).alias("deal"))
+
+    def unit(t: pa.Table) -> np.ndarray:
+        m = t.column("vector").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
         n = np.sqrt((m * m).sum(1, keepdims=True))
         return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
-    def block(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(a) and len(b):
-            b = b.sort_values("id")
-            ids, s = b["id"].to_numpy(), np.round(unit(a["q"]) @ unit(b["vector"]).T, 9)
-            for name, row in zip(a["query_id"], s, strict=True):
-                best = np.argsort(-row, kind="stable")[:k]
-                rows += [(name, int(ids[j]), float(row[j])) for j in best]
-        return pd.DataFrame(rows, columns=["query_id", "id", "cosine"])
-
-    wide = left.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(4 * spread - 1))))
-    found = wide.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(block, "query_id long, id long, cosine double")
+    def compared(a: pa.Table, b: pa.Table) -> pa.Table:
+        names, found, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        if a.num_rows and b.num_rows:
+            b = b.sort_by("id")
+            ids, own, other = b.column("id").to_numpy(), unit(a), unit(b)
+            for name, u in zip(a.column("id").to_pylist(), own, strict=True):
+                row = np.round(other @ u, 9)
+                near = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
+                near = near[np.argsort(-row[near], kind="stable")][:k]
+                names.append(np.full(len(near), name)), found.append(ids[near]), scores.append(row[near])
+        return pa.table({"query_id": pa.array(np.concatenate(names), pa.int64()), "id": pa.array(np.concatenate(found), pa.int64()), "cosine": pa.array(np.concatenate(scores))})
+
+    found = left.groupBy("deal", "block").cogroup(right.groupBy("deal", "block")).applyInArrow(compared, "query_id long, id long, cosine double")
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 SELECT id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 15""")
 def search_filtered(spark, sf_dir):
     """Filters in the query text, lexical fallback without vectors."""
-    found, warning = hybrid.hybrid_search(t.sections(spark, sf_dir), "le der -lang:es n_chars:300..9000", 15, metadata=("lang", "n_chars"))
+    found, warning = hybrid.hybrid_search(t.sections(spark, sf_dir), "le der -lang:es n_chars:300..9000", 15, metadata=("lang", "n_chars"), stemmed=False)
     assert warning
     return found.select("id", F.round("score", 6).alias("score"), "rank")
 
@@ -43,7 +43,7 @@ r AS (SELECT id, CASE WHEN lex > 0 THEN lex * (1 + 0.5 * sem) ELSE sem END AS sc
 SELECT id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 40""")
 def search_hybrid(spark, sf_dir):
     sem = vectors(spark, sf_dir)[0].select("id", F.element_at("vector", 1).cast("double").alias("score")).filter("score > 0")
-    found, _ = hybrid.hybrid_search(t.sections(spark, sf_dir), "le der", 40, "hybrid_strict", semantic=sem)
+    found, _ = hybrid.hybrid_search(t.sections(spark, sf_dir), "le der", 40, "hybrid_strict", semantic=sem, stemmed=False)
     return found.select("id", F.round("score", 6).alias("score"), "rank")
 
 

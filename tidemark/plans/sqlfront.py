@@ -1,6 +1,6 @@
 """Read-only SQL over telemetry and documents: a pre-pass over the text, then Spark SQL.
 
-It expands match(kind, 'text'), intervals('condition', min_len => '..', max_gap => '..', entity => '..'), within_nm(lat, lon, nm),
+It expands match(kind, 'text') and match(body, 'text'), intervals('condition', min_len => '..', max_gap => '..', entity => '..'), within_nm(lat, lon, nm),
 in_bbox(lat0, lon0, lat1, lon1) and date_bin(INTERVAL '..' UNIT, ts[, origin]); all else is Spark's to parse.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.fixed import quantized
 from tidemark.operators.intervals import intervals
-from tidemark.operators.search import covered_buckets, text_condition
+from tidemark.operators.search import covered_buckets, match_docs, text_condition
 
 _STRING = r"'(?:[^']|'')*'"
 _QUOTED = re.compile(rf'{_STRING}|"[^"]*"|--[^\n]*|/\*.*?\*/', re.S)
@@ -23,6 +23,25 @@ _QUOTED = re.compile(rf'{_STRING}|"[^"]*"|--[^\n]*|/\*.*?\*/', re.S)
 _CLAUSES = frozenset("WHERE JOIN ON USING GROUP ORDER LIMIT OFFSET LEFT RIGHT FULL INNER OUTER CROSS SEMI ANTI HAVING UNION WINDOW LATERAL EXCEPT INTERSECT MINUS NATURAL TABLESAMPLE PIVOT SORT CLUSTER DISTRIBUTE".split())
 
 
+#: Beginnings of statements that write, as they can follow WITH or FROM.
+_WRITES = re.compile(r"\bINSERT\s+(?:INTO|OVERWRITE)\b|\bUPDATE\s+[\w.`]+\s+(?:AS\s+\w+\s+)?SET\b|(?<!SELECT )(?<!, )\bDELETE\s+FROM\b|\bMERGE\s+INTO\b", re.I)
+
+
+def _masked(sql: str) -> str:
+    """The text with the insides of quotes and comments blanked out, so that places stay."""
+    return _QUOTED.sub(lambda m: m[0][0] + "x" * (len(m[0]) - 2) + m[0][-1] if m[0][0] in "'\"" else " " * len(m[0]), sql)
+
+
+def _flat(bare: str) -> str:
+    """The text outside of all brackets."""
+    out, depth = [], 0
+    for c in bare:
+        depth -= c == ")"
+        out.append(c if depth <= 0 else " ")
+        depth += c == "("
+    return "".join(out)
+
+
 class NotReadOnly(ValueError):
     pass
 
@@ -36,7 +55,9 @@ def guard(sql: str) -> str:
     first = words[0].upper() if words else ""
     if ";" in bare or first not in ("SELECT", "WITH", "VALUES", "EXPLAIN", "FROM", "TABLE"):
         raise NotReadOnly("tables are derived and read-only: one SELECT or EXPLAIN is what can run")
-    if first in ("WITH", "FROM", "EXPLAIN") and re.search(r"\b(INSERT|UPDATE|DELETE|MERGE|CREATE|DROP|ALTER|TRUNCATE)\b", bare, re.I):
+    flat = _flat(bare)
+    own = re.match(r"\s*EXPLAIN\s+(?:(?:EXTENDED|FORMATTED|CODEGEN|COST)\s+)?(\w+)", flat, re.I)
+    if _WRITES.search(flat) or own and own[1].upper() not in ("SELECT", "WITH", "VALUES", "FROM", "TABLE"):
         raise NotReadOnly("tables are derived and read-only: one SELECT or EXPLAIN is what can run")
     return text.strip()
 
@@ -95,13 +116,15 @@ class Engine:
             name = f"__runs_{len(frames)}"
             frames[name] = self._intervals(x)
             text = f"{text[:a]}{name}{text[b:]}"
+        frames["docs"], text = self._docs_matched(text)
         for a, b, x in _calls(text, "match"):
             if len(x) != 2 or x[0].lower() not in ("notes", "logbook", "alerts"):
-                raise ValueError("match(notes | logbook | alerts, 'text')")
+                raise ValueError("match(notes | logbook | alerts, 'text') over telemetry, match(body, 'text') over docs")
             name = f"__hits_{len(frames)}"
             hits = self.docs.filter((F.col("kind") == x[0].lower()) & text_condition(F.col("body"), _text(x[1])))
             frames[name] = covered_buckets(hits, self.width).select(F.col("entity").alias("__entity"), F.col("bucket").alias("__bucket")).distinct()
-            text = f"{text[:a]}EXISTS (SELECT 1 FROM {name} WHERE __entity = entity AND __bucket = bucket){text[b:]}"
+            own = self._alias(text, "telemetry")
+            text = f"{text[:a]}EXISTS (SELECT 1 FROM {name} WHERE __entity = {own}entity AND __bucket = {own}bucket){text[b:]}"
         lat, lon = self.position
         for a, b, x in _calls(text, "within_nm"):
             y, z, nm = (float(v) for v in x)
@@ -157,16 +180,63 @@ class Engine:
             raise ValueError("a single condition is needed")
         return F.expr(self._membership(self._quantized(text)))
 
+    def _docs_matched(self, text: str) -> tuple[DataFrame, str]:
+        """docs with a score, and match(body, 'text') as a condition on them. Calls ANDed together must all match; scores add up; NOT leaves documents out."""
+        calls = [c for c in _calls(text, "match") if c[2] and c[2][0].lower().split(".")[-1] == "body"]
+        docs = self.docs
+        if not calls:
+            return docs, text
+        if not re.search(r"\b(?:FROM|JOIN)\s+docs\b", _masked(text), re.I):
+            raise ValueError("match(body, 'text') needs docs")
+        score = F.lit(0.0)
+        for i, (a, b, x) in enumerate(calls):
+            if len(x) != 2:
+                raise ValueError("match(body, 'text')")
+            words, before = _text(x[1]), _masked(text)[:a]
+            docs = docs.withColumn(f"__match_{i}", text_condition(F.col("body"), words))
+            if not re.search(r"\bNOT\s*$", before, re.I):
+                found = match_docs(self.docs, words).select("entity", "kind", "id", F.col("score").alias(f"__score_{i}"))
+                docs, score = docs.join(found, ["entity", "kind", "id"], "left"), score + F.coalesce(F.col(f"__score_{i}"), F.lit(0.0))
+            text = f"{text[:a]}{self._alias(text, 'docs')}__match_{i}{text[b:]}"
+        return docs.select(*self.docs.columns, *[f"__match_{i}" for i in range(len(calls))], score.alias("score")), text
+
+    @staticmethod
+    def _alias(text: str, name: str) -> str:
+        """How columns of a table are qualified: by its alias or its name, or not at all if it isn't in the text."""
+        m = re.search(rf"\b(?:FROM|JOIN)\s+{name}\b(?:\s+(?:AS\s+)?([A-Za-z_]\w*))?", _masked(text), re.I)
+        if not m:
+            return ""
+        return f"{m[1] if m[1] and m[1].upper() not in _CLAUSES else name}."
+
+    def schema(self) -> DataFrame:
+        """(table, position, column, type, digits): what can be asked; digits of fixed-point columns."""
+        rows = [(n, i + 1, f.name, f.dataType.simpleString(), self.scales.get(f.name) if n == "telemetry" else None) for n, df in sorted(self.tables.items()) for i, f in enumerate(df.schema)]
+        return self.spark.createDataFrame(rows, "table string, position int, column string, type string, digits int")
+
+    def status(self) -> DataFrame:
+        """(entity, buckets, first, last, documents): how far telemetry and documents reach."""
+        t = self.telemetry.groupBy("entity").agg(F.count("*").alias("buckets"), F.min("bucket").alias("first"), F.max("bucket").alias("last"))
+        d = self.docs.groupBy("entity").agg(F.count("*").alias("documents"))
+        return t.join(d, "entity", "full").select("entity", F.coalesce("buckets", F.lit(0)).alias("buckets"), "first", "last", F.coalesce("documents", F.lit(0)).alias("documents"))
+
     def _quantized(self, text: str) -> str:
-        """Literals that are compared with a fixed-point column, as the column would hold them."""
+        """Decimal literals that are compared with a fixed-point column, as the column would hold them: by operators on either side, BETWEEN and IN; never inside quotes."""
+        number = r"-?\d+\.\d+(?:[eE][+-]?\d+)?(?![\w.])"
         for c, s in self.scales.items():
-            text = re.sub(rf"(\b{re.escape(c)}\b\s*(?:<=|>=|<>|!=|=|<|>)\s*)(-?\d+\.\d+)(?![\w.])", lambda m, s=s: m[1] + repr(quantized(float(m[2]), s)) + "D", text)
+            masked, own, op = _masked(text), rf"(?<![\w.])(?:\w+\.)?{re.escape(c)}\b", r"(?:<=>|<=|>=|<>|!=|=|<|>)"
+            spans = []
+            for rx in (rf"{own}\s*{op}\s*({number})", rf"(?<![\w.])({number})\s*{op}\s*{own}", rf"{own}\s+(?:NOT\s+)?BETWEEN\s+({number})\s+AND\s+", rf"{own}\s+(?:NOT\s+)?BETWEEN\s+[^()]*?\s+AND\s+({number})"):
+                spans += [m.span(1) for m in re.finditer(rx, masked, re.I)]
+            for m in re.finditer(rf"{own}\s+(?:NOT\s+)?IN\s*\(([^()]*)\)", masked, re.I):
+                spans += [(m.start(1) + n.start(), m.start(1) + n.end()) for n in re.finditer(rf"(?<![\w.]){number}", m[1])]
+            for a, b in sorted(set(spans), reverse=True):
+                text = f"{text[:a]}{quantized(float(text[a:b]), s)!r}D{text[b:]}"
         return text
 
     def _membership(self, text: str) -> str:
         """An array column equal to a string is one that holds it."""
         lists = [f.name for f in self.telemetry.schema if f.dataType.typeName() == "array"]
         for c in lists:
-            text = re.sub(rf"\b{re.escape(c)}\b\s*=\s*({_STRING})", rf"array_contains({c}, \1)", text)
-            text = re.sub(rf"\b{re.escape(c)}\b\s*(?:<>|!=)\s*({_STRING})", rf"NOT array_contains({c}, \1)", text)
+            for m in reversed(list(re.finditer(rf"(?<![\w.])((?:\w+\.)?{re.escape(c)})\s*(=|<>|!=)\s*('x*')", _masked(text), re.I))):
+                text = f"{text[: m.start()]}{'' if m[2] == '=' else 'NOT '}array_contains({m[1]}, {text[m.start(3) : m.end(3)]}){text[m.end() :]}"
         return text

@@ -55,9 +55,9 @@ def duck_top(gain: str) -> str:
 SELECT query, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10"""
 
 
-def benchmark_search(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
-    q = search.query_table(t.table(spark, sf_dir, "benchmark"), "item_id", "text")
-    found = search.bm25(search.postings(t.sections(spark, sf_dir)), q, variant)
+def benchmark_search(spark: SparkSession, sf_dir: str, variant: str, stemmed: bool = False) -> DataFrame:
+    q = search.query_table(t.table(spark, sf_dir, "benchmark"), "item_id", "text", stemmed)
+    found = search.bm25(search.postings(t.sections(spark, sf_dir), stemmed=stemmed), q, variant)
     return search.top(found, 10).select("query", "id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -77,6 +77,12 @@ def bm25_l(spark, sf_dir):
     return benchmark_search(spark, sf_dir, "l")
 
 
+@query()
+def bm25_stemmed(spark, sf_dir):
+    """As by default: words match by their stems. A test holds it against the formula in plain Python."""
+    return benchmark_search(spark, sf_dir, "classic", stemmed=True)
+
+
 def duck_question(words: dict[str, int]) -> str:
     return " UNION ALL ".join(f"SELECT 0 AS query, '{w}' AS term FROM range({n})" for w, n in words.items())
 
@@ -86,7 +92,7 @@ r AS (SELECT id, score FROM scored WHERE id NOT IN (SELECT id FROM post WHERE te
 SELECT id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 25""")
 def search_not(spark, sf_dir):
     """A repeated term counts twice; `-word` and `NOT word` exclude; excluding a stop word does nothing."""
-    return search.search(t.sections(spark, sf_dir), "le der Le -une NOT und -the", 25).select("id", F.round("score", 6).alias("score"), "rank")
+    return search.search(t.sections(spark, sf_dir), "le der Le -une NOT und -the", 25, stemmed=False).select("id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""WITH {DUCK_DOCS} SELECT entity, id FROM docs WHERE list_has_any({duck_tokens('body')}, ['le', 'der']) AND list_has_any({duck_tokens('body')}, ['une', 'und'])""")
@@ -159,7 +165,7 @@ SELECT coalesce(s.id, m.id) AS id, round(CASE WHEN s.score IS NOT NULL THEN s.sc
 FROM scored s FULL JOIN mass m ON s.id = m.id WHERE s.score IS NOT NULL OR m.mass >= 0.5""")
 def graph_boost(spark, sf_dir):
     q = spark.createDataFrame([(0, "le", 1), (0, "der", 1)], "query int, term string, times long")
-    scored = search.bm25(search.postings(t.sections(spark, sf_dir)), q)
+    scored = search.bm25(search.postings(t.sections(spark, sf_dir), stemmed=False), q)
     return knowledge.graph_boost(scored, walk(spark, sf_dir)).select("id", F.round("score", 6).alias("score"))
 
 
@@ -196,9 +202,9 @@ def markov_transitions(spark, sf_dir):
 @query()
 def tag_longest(spark, sf_dir):
     """Documents tagged by the longest phrases of a dictionary made of the benchmark's first words."""
-    rows = t.table(spark, sf_dir, "benchmark").select("item_id", F.slice(tokens(F.col("text")), 1, 2).alias("w")).filter("size(w) = 2").collect()
-    phrases = {" ".join(r.w): f"PAIR{r.item_id}" for r in rows} | {r.w[0]: f"WORD{r.item_id}" for r in rows}
-    return knowledge.tag(t.sections(spark, sf_dir), phrases).select("id", F.array_join("tags", ",").alias("tags"))
+    b = t.table(spark, sf_dir, "benchmark").select("item_id", F.slice(tokens(F.col("text")), 1, 2).alias("w")).filter("size(w) = 2")
+    phrases = b.select(F.array_join("w", " ").alias("phrase"), F.concat(F.lit("PAIR"), "item_id").alias("action")).unionAll(b.select(F.col("w")[0], F.concat(F.lit("WORD"), "item_id")))
+    return knowledge.tag_by_table(t.sections(spark, sf_dir), phrases).select("id", F.array_join("tags", ",").alias("tags"))
 
 
 # facets, metadata, metrics
@@ -246,7 +252,7 @@ SELECT query, CAST(hit AS INTEGER) AS hit, round(coalesce(1.0 / first, 0.0), 6)
 def ir_metrics(spark, sf_dir):
     """Benchmark texts as questions; a document is relevant if it holds four fifths of the text's distinct tokens."""
     b = t.table(spark, sf_dir, "benchmark")
-    found = search.bm25(search.postings(t.sections(spark, sf_dir)), search.query_table(b, "item_id", "text"))
+    found = search.bm25(search.postings(t.sections(spark, sf_dir), stemmed=False), search.query_table(b, "item_id", "text", stemmed=False))
     ranked = search.top(found, 20).join(b.select(F.col("item_id").alias("query"), tokens(F.col("text")).alias("answer")), "query").join(t.sections(spark, sf_dir).select("id", tokens(F.col("body")).alias("own")), "id")
     share = relations.containment(F.col("answer"), F.col("own"))
     m = relations.ranking_metrics(ranked.filter(share.isNotNull()).select("query", "rank", F.when(share >= 0.8, 1.0).otherwise(0.0).alias("gain")), 10)

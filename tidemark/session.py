@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from tidemark.scratch import scratch_path as scratch_path
+
 #: Needed for right results (UTC clocks) for plans that adapt to skew, or for small batches of long texts. Cluster sizes stay the cluster's business.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,6 +18,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.python.filterPushdown.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
 }
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -36,15 +38,6 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder where driver and executors can share files: in spark.checkpoint.dir, else (tests) a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
-
-
 def session(master: str = "local[*]", **conf: str) -> SparkSession:
     """A session with SETTINGS; conf uses underscores for dots."""
     b = SparkSession.builder.master(master).appName("tidemark")

@@ -138,23 +138,55 @@ def html_text(html: Column) -> tuple[Column, Column]:
     return title, F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
+#: Lines of a piece of a Markdown section: at least, and at most if no blank line comes before; lines of a piece of another file.
+PIECE, MOST, PLAIN = 30, 50, 25
+
+
+def _sections(lines: list[str], least: int) -> list[tuple[str, int, list[str]]]:
+    """(title, line, body lines): a section a `#` heading; what comes before the first is `Introduction`. Bodies of `least` bytes or fewer go."""
+    cuts, title, line = [], "Introduction", 1
+    body: list[str] = []
+    for i, x in enumerate(lines):
+        head = x.strip()
+        if head.startswith("#") and head.lstrip("#").strip():
+            cuts.append((title, line, body))
+            title, line, body = head.lstrip("#").strip(), i + 1, []
+        else:
+            body.append(x)
+    return [c for c in [*cuts, (title, line, body)] if len("\n".join(c[2]).strip().encode()) > least]
+
+
+def _pieces(lines: list[str]) -> list[tuple[int, list[str]]]:
+    """(place, lines): pieces of PIECE lines, drawn out to the next blank line, up to MOST; blank ones go."""
+    out, at = [], 0
+    while at < len(lines):
+        end = min(at + PIECE, len(lines))
+        while end < min(at + MOST, len(lines)) and lines[end].strip():
+            end += 1
+        if any(x.strip() for x in lines[at:end]):
+            out.append((at, lines[at:end]))
+        at = end
+    return out
+
+
 def markdown_sections(files: DataFrame, least: int = 100) -> DataFrame:
-    """(file, title, line, body) of files(file, text): a section a `#` heading, its body of more than `least` bytes; other files in chunks of 25 lines."""
+    """(file, title, line, body) of files(file, text): a section a `#` heading, long ones in parts of 30 to 50 lines; other files in chunks of 25 lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple[str, str, int, str]] = []
             for name, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                lines = (text or "").split("\n")
-                heads = [i for i, x in enumerate(lines) if re.match(r"#{1,6}\s+\S", x)]
-                if heads and (name or "").endswith((".md", ".markdown")):
-                    for a, b in zip(heads, [*heads[1:], len(lines)], strict=True):
-                        body = "\n".join(lines[a + 1 : b]).strip()
-                        if len(body.encode()) > least:
-                            rows.append((name, lines[a].lstrip("#").strip(), a + 1, body))
+                lines = [x.removesuffix("\r") for x in (text or "").removesuffix("\n").split("\n")]
+                if (name or "").lower().endswith((".md", ".markdown")):
+                    for title, line, body in _sections(lines, least):
+                        parts = _pieces(body)
+                        if len(parts) <= 1:
+                            rows.append((name, title, line, "\n".join(body)))
+                        else:
+                            rows += [(name, f"{title} (Part {i + 1}/{len(parts)})", line + at, "\n".join(part)) for i, (at, part) in enumerate(parts)]
                 else:
-                    for a in range(0, len(lines), 25):
-                        if body := "\n".join(lines[a : a + 25]).strip():
+                    for a in range(0, len(lines), PLAIN):
+                        if body := "\n".join(lines[a : a + PLAIN]).strip():
                             rows.append((name, name, a + 1, body))
             columns = zip(*rows, strict=True) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["file", "title", "line", "body"])
