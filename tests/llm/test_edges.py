@@ -572,6 +572,19 @@ def test_warc_edges(spark):
     assert warc.round_trip(spark, p.filter("false")).count() == 0
 
 
+def test_warc_headers(spark, tmp_path):
+    """Every record has an id of its own and a date; revisits name their profile and the id of a response that is there."""
+    html = "<p>same</p>" * 20
+    rows = [(1, "http://a/", html), (1, "http://b/", html), (2, "http://b/", html), (3, "http://c/", "x" * 200), (4, "http://c/", "x" * 200), (5, "u", "short"), (6, "v", "short")]
+    warc.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = warc.read_warc(spark, str(tmp_path / "w"), payloads=False).collect()
+    assert len({r.record_id for r in got}) == len(rows) and all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", r.date) for r in got)
+    responses = {r.record_id: r for r in got if r.record_type == "response"}
+    again = [r for r in got if r.record_type == "revisit"]
+    assert sorted(r.page_id for r in again) == ["2", "4"] and all(r.profile == warc.PROFILE and responses[r.refers_to].payload_digest == r.payload_digest for r in again)
+    assert all(r.profile is None and r.refers_to is None for r in responses.values())
+
+
 def test_warc_foreign_files(spark, tmp_path):
     """Plain and ordinary gzip archives, several record types, filters that the source takes and ones that it leaves to Spark."""
     records = [warc.record_bytes([("WARC-Type", k), ("WARC-Record-ID", f"<urn:{i}>"), ("WARC-Target-URI", f"http://h/{i}")], b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + b"x" * (i * 1000) if k == "response" else b"info") for i, k in enumerate(["warcinfo", "response", "request", "response"])]

@@ -1,18 +1,17 @@
-"""What the operators share: scratch tables in the cluster's shared folder, size-checked broadcasts, words."""
+"""What the operators share: words, batch functions, and names of columns; scratch tables are the library's."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Rows of a few longs each, up to which a side of a join is broadcast (about 100 MB once hashed).
-BROADCAST_ROWS = 1_000_000
+from tidemark.scratch import discard as discard
+from tidemark.scratch import scratch_path as scratch_path
+from tidemark.scratch import small_side as small_side
+from tidemark.scratch import stored as stored
 
 #: Bytes that split words of the decontamination rule; A-Z go to lower case. Bytes from 0x80 up are parts of words.
 _KEEP = bytes(
@@ -30,43 +29,6 @@ def space_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "replace").lower().split()
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests, local mode) a new temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes the rows to the shared folder and returns the table read back: lineage ends there, and it survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._tidemark_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes stored() tables that no later plan reads."""
-    for df in tables:
-        path = getattr(df, "_tidemark_path", None)
-        if path:
-            jvm, spark = df.sparkSession._jvm, df.sparkSession
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
-
-
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The side marked for broadcast if it has at most `limit` rows; otherwise as it is, for a shuffled join. Counts the rows: give a stored table."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def lean(run):
     """A batch function that gives freed memory back to the system when its task ends: workers live on between tasks and stages."""
 

@@ -156,7 +156,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 13, share
     item_id takes no part; items that repeat a text all count, rows that repeat an item_id count once.
     """
     spark = documents.sparkSession
-    owners = stored(phrase_windows(benchmark, n).select("item_id", F.xxhash64(F.concat_ws(" ", "terms")).alias("window"), "terms").distinct(), "owners")
+    owners = stored(phrase_windows(benchmark, n).select("item_id", F.unhex(F.md5(F.concat_ws(" ", "terms"))).alias("window"), "terms").distinct(), "owners")
     windows = stored(owners.dropDuplicates(["window"]).select("window", "terms"), "windows")
     terms = windows.select(F.explode("terms").alias("term")).distinct()
     vocabulary = anchors = None

@@ -13,25 +13,29 @@ import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from tidemark.llm.common import scratch_path
+from tidemark.llm.common import discard, scratch_path, small_side, stored
 
 #: Header names of columns; page ids and payload lengths are the writer's own extension headers.
 HEADERS = {
     "record_type": "WARC-Type",
     "record_id": "WARC-Record-ID",
+    "date": "WARC-Date",
+    "profile": "WARC-Profile",
     "target_uri": "WARC-Target-URI",
     "payload_digest": "WARC-Payload-Digest",
     "refers_to": "WARC-Refers-To",
     "page_id": "X-Page-ID",
     "payload_bytes": "X-Payload-Length",
 }
-SCHEMA = "record_type string, record_id string, target_uri string, payload_digest string, refers_to string, page_id string, payload_bytes string, payload binary"
+SCHEMA = "record_type string, record_id string, date string, profile string, target_uri string, payload_digest string, refers_to string, page_id string, payload_bytes string, payload binary"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _SLICE = 1 << 16
 
@@ -246,27 +250,36 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     return spark.read.format("warc").option("payloads", str(payloads).lower()).load(path)
 
 
-def write_pages(pages: DataFrame, path: str, least: int = 100) -> None:
-    """Writes a record for each row of pages(page_id, url, html).
+def write_pages(pages: DataFrame, path: str, least: int = 100, date: datetime | None = None) -> None:
+    """Writes a record for each row of pages(page_id, url, html), dated `date` (UTC; else now).
 
     Of rows with equal payloads of at least `least` bytes, those of the smallest page_id are responses and the others
     revisit it; shorter payloads are always responses. A null html is empty, a null page_id never revisits nor is
-    revisited, a null url has no header. Rows that repeat the smallest page_id are responses too.
+    revisited, a null url has no header. Rows that repeat the smallest page_id are responses too. A record's id follows
+    from page_id, url and payload, so only rows that repeat all three share one.
+
+    What repeats is found in digests alone. If that table is counted small, pages stay where they are; else they are
+    dealt out by digest, short ones by page.
     """
     register(pages.sparkSession)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("target_uri"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    # only payloads that occur under several ids: the digest's hot rows meet one row here, and adaptive joins split them
-    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("payload_digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n"))
-    firsts = slim.filter(F.col("n") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("first != last").select("payload_digest", "first")
-    told = rows.join(firsts, "payload_digest", "left").withColumn("again", F.coalesce((F.col("payload_bytes") >= least) & (F.col("page_id") != F.col("first")), F.lit(False)))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
+    stamp = (date or datetime.now(UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    page, payload = F.col("page_id").cast("long").alias("page_id"), F.coalesce("html", F.lit("")).cast("binary")
+    digest = F.sha2(payload, 256)
+    record = F.concat_ws(":", F.coalesce(F.col("page_id").cast("long").cast("string"), F.lit("none")), F.lower(F.hex(F.xxhash64("url", digest))))
+    slim = pages.select(page, digest.alias("payload_digest"), record.alias("record"), F.octet_length(payload).alias("n"))
+    firsts = slim.filter((F.col("n") >= least) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min(F.struct("page_id", "record")).alias("first"), F.max("page_id").alias("last")).filter("first.page_id != last").select(F.col("payload_digest").alias("key"), "first")
+    firsts = stored(firsts, "firsts")
+    rows = pages.select(page, F.col("url").alias("target_uri"), payload.alias("payload"), digest.alias("payload_digest"), record.alias("record"), F.octet_length(payload).cast("long").alias("payload_bytes"))
+    rows = rows.withColumn("key", F.when(F.col("payload_bytes") >= least, F.col("payload_digest")).otherwise(F.concat(F.lit("#"), "record")))  # short payloads never meet
+    told = rows.join(small_side(firsts, 300_000), "key", "left").withColumn("again", F.coalesce(F.col("page_id") != F.col("first.page_id"), F.lit(False)))
+    urn = lambda c: F.concat(F.lit("<urn:page:"), c, F.lit(">"))
     records = told.select(
-        F.when(F.col("again"), "revisit").otherwise("response").alias("record_type"), urn(F.coalesce(F.col("page_id").cast("string"), F.lit("none"))).alias("record_id"), "target_uri",
-        F.concat(F.lit("sha256:"), F.col("payload_digest")).alias("payload_digest"), F.when(F.col("again"), urn(F.col("first"))).alias("refers_to"), F.col("page_id").cast("string").alias("page_id"),
+        F.when(F.col("again"), "revisit").otherwise("response").alias("record_type"), urn(F.col("record")).alias("record_id"), F.lit(stamp).alias("date"), F.when(F.col("again"), F.lit(PROFILE)).alias("profile"), "target_uri",
+        F.concat(F.lit("sha256:"), F.col("payload_digest")).alias("payload_digest"), F.when(F.col("again"), urn(F.col("first.record"))).alias("refers_to"), F.col("page_id").cast("string").alias("page_id"),
         F.col("payload_bytes").cast("string").alias("payload_bytes"), F.when(~F.col("again"), F.col("payload")).alias("payload"),
     )
     records.write.format("warc").mode("append").save(path)
+    discard(firsts)
 
 
 def archived_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -274,7 +287,7 @@ def archived_pages(spark: SparkSession, path: str) -> DataFrame:
 
     Responses are measured from the payloads that come back; revisits carry their response's figures in their headers.
     """
-    number = lambda c: F.regexp_extract(c, "([0-9-]+)>$", 1).cast("long")
+    number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+):", 1).cast("long")
     full = read_warc(spark, path).filter("record_type = 'response'").select(F.col("page_id").cast("long").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
     slim = read_warc(spark, path, payloads=False).filter("record_type = 'revisit'").select(F.col("page_id").cast("long").alias("page_id"), F.col("payload_bytes").cast("long").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
     return full.unionByName(slim)
