@@ -435,7 +435,7 @@ def jaccard_components(documents: DataFrame, ngram: int = 5, p: int = 80, q: int
     rooted = lambda: everyone.join(root, everyone.sig == root.node, "left").select("bucket", "sig", F.coalesce("root", "sig").alias("root"))
     compared = lambda some, every: stored(_chunk_pairs(some).join(slim, "sig").groupBy("bucket", "i", "j").applyInArrow(_near(p, q, every), _NEAR), "near")
     mixed = rooted().groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
-    open_ = stored(rooted().join(mixed, "bucket"), "open")
+    open_ = stored(rooted().join(small_side(stored(mixed, "mixed")), "bucket"), "open")
     if open_.limit(1).count():
         near = compared(open_, False)
         closest = near.groupBy("root_a", "root_b").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("pair")).select("pair.a", "pair.b")
@@ -445,7 +445,7 @@ def jaccard_components(documents: DataFrame, ngram: int = 5, p: int = 80, q: int
             root = stored(connected_components(links), "roots")
         left = near.select("a", "b")
         if near.filter("more").limit(1).count():
-            again = stored(rooted().join(near.filter("more").select("bucket").distinct(), "bucket"), "again")
+            again = stored(rooted().join(small_side(stored(near.filter("more").select("bucket").distinct(), "unsettled")), "bucket"), "again")
             left = left.unionAll(compared(again, True).select("a", "b"))
         left = left.distinct().join(closest, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
         left = stored(left.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "left")
