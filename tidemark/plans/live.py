@@ -33,7 +33,8 @@ def stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
     """The events' `value` samples as a file stream; with several files, dealt out so that each holds late samples."""
     s = t.samples(spark, sf_dir).filter("path = 'value'")
     path = scratch_path(spark, "arrivals")
-    s.repartition(files, F.pmod(F.xxhash64("seq"), F.lit(files))).write.parquet(path)
+    parts = files if files > 1 else 8  # one micro-batch of several files
+    s.repartition(parts, F.pmod(F.xxhash64("seq"), F.lit(parts))).write.parquet(path)
     return spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1 if files > 1 else 1000).parquet(path)
 
 

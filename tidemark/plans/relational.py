@@ -42,7 +42,7 @@ pair("join_full", """SELECT a.k AS ak, b.k AS bk, a.n AS an, b.n AS bn FROM (SEL
 pair("join_self", """SELECT a.n_name AS one, b.n_name AS other FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey""")
 pair("join_cross", """SELECT r_name, n_name FROM region CROSS JOIN nation""")
 pair("join_semi", """SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)""")
-pair("join_anti", """SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+pair("join_anti", """SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)""")
 pair("join_range", """SELECT e.event_id, count(*) AS near FROM events e JOIN events f ON e.user_id = f.user_id AND f.ts > e.ts AND f.ts <= e.ts + INTERVAL 1 HOUR GROUP BY e.event_id""")
 pair("agg_exact_sum", f"""SELECT l_returnflag, l_linestatus, {money('l_quantity', 'quantity')}, {money('l_extendedprice', 'base')}, {money('l_extendedprice * (1 - l_discount)', 'discounted')}, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus""")
 pair(
@@ -75,7 +75,7 @@ pair("topk", """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalpric
 pair("union_all", """SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier""")
 pair("union", """SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier""")
 pair("intersect", """SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier""")
-pair("except", """SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier""")
+pair("except", """SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000""")
 pair("except_all", """SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier""")
 pair("intersect_all", """SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier""")
 pair("cte", """WITH big AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey), avg_ AS (SELECT avg(s) AS a FROM big) SELECT o_custkey FROM big, avg_ WHERE s > a * 1.5""")

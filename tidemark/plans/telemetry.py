@@ -223,8 +223,7 @@ def notification_docs(spark, sf_dir):
     return intervals.notifications(t.samples(spark, sf_dir).filter("path = 'state'"), ("low",))
 
 
-@query("""WITH p AS (SELECT event_type, user_id, ts, value, CAST(date_trunc('week', ts) AS TIMESTAMP) AS start, sum(value) OVER (PARTITION BY event_type, date_trunc('week', ts) ORDER BY ts, event_id) AS reading FROM events WHERE value >= 0)
-SELECT event_type, CAST(count(*) AS BIGINT) AS points, round(sum(value), 2) AS total FROM p GROUP BY 1""")
+@query("""SELECT event_type, event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id), 4) AS total FROM events WHERE value >= 0""")
 def counter_totals(spark, sf_dir):
     """Cumulative readings that start anew each week, put together to one growing total."""
     from pyspark.sql import Window
@@ -232,9 +231,10 @@ def counter_totals(spark, sf_dir):
     e = t.table(spark, sf_dir, "events").filter("value >= 0")
     week = F.date_trunc("week", F.col("ts").cast("timestamp"))
     e = e.withColumn("start", week).withColumn("reading", F.sum("value").over(Window.partitionBy("event_type", "start").orderBy("ts", "event_id")))
-    at = F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.col("event_id") / 1e6)
-    c = intervals.counter_totals(e.select("event_type", at.alias("ts"), "start", F.col("reading").alias("value"), F.lit(False).alias("delta")), ["event_type"])
-    return c.groupBy("event_type").agg(F.count("*").alias("points"), F.round(F.max("total"), 2).alias("total"))
+    order = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
+    at = F.timestamp_micros(F.unix_micros("start") + order.cast("long"))  # distinct clocks, in the same order
+    c = intervals.counter_totals(e.select("event_type", "event_id", at.alias("ts"), "start", F.col("reading").alias("value"), F.lit(False).alias("delta")), ["event_type"])
+    return c.select("event_type", "event_id", F.round("total", 4).alias("total"))
 
 
 # strides of time

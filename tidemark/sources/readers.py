@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from collections.abc import Iterator, Sequence
 
@@ -9,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.buckets import glob_regex
+
 
 def mapped_time(c: Column, unit: str, zone: str = "UTC") -> Column:
     """A timestamp from seconds, millis, micros, nanos or an RFC 3339 text; naive clocks are of the zone."""
@@ -93,13 +97,14 @@ def otlp_logs(payloads: DataFrame, column: str = "value", identity: Sequence[str
 _DELTA = "context string, updates array<struct<`$source`:string,source:struct<label:string,type:string,src:string,pgn:string,talker:string>,timestamp:string,values:array<struct<path:string,value:string>>>>"
 
 
-def deltas(lines: DataFrame, received: Column | None = None, own: str = "vessels.urn:self", skew_seconds: int = 300) -> DataFrame:
+def deltas(lines: DataFrame, received: Column | None = None, own: str = "vessels.urn:self", skew_seconds: int = 300, allow: Sequence[str] = (), deny: Sequence[str] = (), allow_sources: Sequence[str] = (), deny_sources: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """Samples (entity, path, source, ts, num, str) of NDJSON delta records in a `value` column, batch or streaming.
 
     Objects flatten to path.key (arrays and empty ones drop); a timestamp missing, invalid or more than skew_seconds from
-    the time of receipt gives way to that; contexts `urn:x` become `vessels.urn:x`.
+    the time of receipt gives way to that; contexts `urn:x` become `vessels.urn:x`. Globs of paths and of sources allow (all,
+    if none are given) and deny; a denial wins. Columns in `keep` are carried along.
     """
-    d = lines.select(F.from_json("value", _DELTA).alias("d"), (received if received is not None else F.lit(None).cast("timestamp")).alias("rt")).select("d.context", "rt", F.explode("d.updates").alias("u")).select("context", "rt", F.col("u.`$source`").alias("s"), F.col("u.source").alias("so"), F.try_to_timestamp("u.timestamp").alias("ts"), F.explode("u.values").alias("v"))
+    d = lines.select(F.from_json("value", _DELTA).alias("d"), (received if received is not None else F.lit(None).cast("timestamp")).alias("rt"), *keep).select("d.context", "rt", *keep, F.explode("d.updates").alias("u")).select("context", "rt", *keep, F.col("u.`$source`").alias("s"), F.col("u.source").alias("so"), F.try_to_timestamp("u.timestamp").alias("ts"), F.explode("u.values").alias("v"))
     ctx = F.coalesce("context", F.lit(own))
     entity = F.when(ctx.startswith("urn:"), F.concat(F.lit("vessels."), ctx)).otherwise(ctx)
     late = F.col("ts").isNull() | (F.abs(F.unix_seconds("ts") - F.unix_seconds("rt")) > skew_seconds)
@@ -108,9 +113,13 @@ def deltas(lines: DataFrame, received: Column | None = None, own: str = "vessels
     raw = F.col("v.value")
     fields = F.from_json(raw, "map<string,string>")
     pairs = F.when(raw.startswith("{"), F.transform(F.map_entries(fields), lambda e: F.struct(F.concat_ws(".", F.col("v.path"), e["key"]).alias("path"), e["value"].alias("x")))).otherwise(F.array(F.struct(F.col("v.path").alias("path"), raw.alias("x"))))
-    flat = d.select(entity.alias("entity"), source.alias("source"), ts.alias("ts"), F.explode(pairs).alias("p")).filter("p.x is not null and not startswith(p.x, '[') and not startswith(p.x, '{')")
+    flat = d.select(entity.alias("entity"), source.alias("source"), ts.alias("ts"), *keep, F.explode(pairs).alias("p")).filter("p.x is not null and not startswith(p.x, '[') and not startswith(p.x, '{')")
+    fits = lambda c, globs: F.coalesce(functools.reduce(operator.or_, [c.rlike(glob_regex(g)) for g in globs]), F.lit(False))
+    for c, yes, no in ((F.col("p.path"), allow, deny), (F.col("source"), allow_sources, deny_sources)):
+        flat = flat.filter(fits(c, yes)) if yes else flat
+        flat = flat.filter(~fits(c, no)) if no else flat
     n = F.expr("try_cast(p.x AS double)")
-    return flat.select("entity", "p.path", "source", "ts", F.when(~F.isnan(n) & (F.abs(n) != float("inf")), n).alias("num"), F.when(n.isNull(), F.col("p.x")).alias("str")).filter("num is not null or str is not null")
+    return flat.select("entity", "p.path", "source", "ts", *keep, F.when(~F.isnan(n) & (F.abs(n) != float("inf")), n).alias("num"), F.when(n.isNull(), F.col("p.x")).alias("str")).filter("num is not null or str is not null")
 
 
 def influx_points(points: DataFrame) -> DataFrame:
