@@ -156,8 +156,8 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     deals, blocks = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = queries.select("id", F.col("vector").cast("array<double>").alias("vector"), part(deals).alias("deal"), every(blocks).alias("block"))
-    right = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"), part(blocks).alias("block"), every(deals).alias("deal"))
+    left = queries.select(F.col("id").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), part(deals).alias("deal"), every(blocks).alias("block"))
+    right = vectors.select(F.col("id").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector"), part(blocks).alias("block"), every(deals).alias("deal"))
 
     def unit(t: pa.Table) -> np.ndarray:
         m = t.column("vector").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
@@ -167,9 +167,9 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def compared(a: pa.Table, b: pa.Table) -> pa.Table:
         names, found, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         if a.num_rows and b.num_rows:
-            b = b.sort_by("id")
-            ids, own, other = b.column("id").to_numpy(), unit(a), unit(b)
-            for name, u in zip(a.column("id").to_pylist(), own, strict=True):
+            b = b.sort_by("vec_id")
+            ids, own, other = b.column("vec_id").to_numpy(), unit(a), unit(b)
+            for name, u in zip(a.column("query_id").to_pylist(), own, strict=True):
                 row = np.round(other @ u, 9)
                 near = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
                 near = near[np.argsort(-row[near], kind="stable")][:k]

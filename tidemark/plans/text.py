@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import STOP_WORDS, duck_tokens, tokens
 from tidemark.operators import knowledge, relations, search
+from tidemark.scratch import stored
 from tidemark.sources import readers
 from tidemark.sources import tables as t
 from tidemark.sources.tables import DUCK_DOCS, DUCK_SECTIONS
@@ -278,18 +279,27 @@ def cosine_topk(spark, sf_dir):
     return search.cosine_top_k(v, q, 10).select("query_id", "rank", "id", F.round("cosine", 6).alias("cosine"))
 
 
-_THREE = f"""{_COSINE}, sem AS (SELECT query_id AS query, id, cosine AS score, rank FROM near WHERE rank <= 30),
-lex AS (SELECT query_id AS query, id, CAST((id * 7 + query_id) % 101 AS DOUBLE) / 10 AS score FROM near WHERE rank > 20 AND rank <= 60), skg AS (SELECT query_id AS query, id, CAST(id % 11 AS DOUBLE) / 10 AS score FROM near WHERE rank > 50 AND rank <= 80)"""
+_ITEMS = "q.vec_id IN (SELECT item_id FROM benchmark)"
+_TWO = f"""{DUCK_SECTIONS}, {duck_bm25(CLASSIC)}, lex AS (SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS nth FROM scored) WHERE nth <= 30),
+{_COSINE.replace("q.vec_id % 50 = 0", _ITEMS).replace("near AS", "nearest AS")}, sem AS (SELECT query_id AS query, id, cosine AS score, rank FROM nearest WHERE rank <= 30)"""
+_THREE = f"""{_TWO}, {_WALK}, skg AS (SELECT query, id, mass AS score FROM (SELECT query, id FROM lex UNION SELECT query, id FROM sem) JOIN mass USING (id))"""
+
+
+def two(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """For each benchmark item the best documents by BM25 for its text, and by cosine to the vector of its number."""
+    v, _ = vectors(spark, sf_dir)
+    items = t.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
+    q = search.query_table(t.table(spark, sf_dir, "benchmark"), "item_id", "text", stemmed=False)
+    lex = search.top(search.bm25(search.postings(t.sections(spark, sf_dir), stemmed=False), q), 30).select("query", "id", "score")
+    sem = search.cosine_top_k(v, v.join(items, "id", "left_semi"), 30).select(F.col("query_id").alias("query"), "id", F.col("cosine").alias("score"), "rank")
+    return stored(lex, "lexical"), stored(sem, "semantic")
 
 
 def three(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three overlapping score lists for each query vector."""
-    v, q = vectors(spark, sf_dir)
-    near = search.cosine_top_k(v, q, 80).withColumnRenamed("query_id", "query")
-    sem = near.filter("rank <= 30").select("query", "id", F.col("cosine").alias("score"), "rank")
-    lex = near.filter("rank > 20 and rank <= 60").select("query", "id", (((F.col("id") * 7 + F.col("query")) % 101).cast("double") / 10).alias("score"))
-    skg = near.filter("rank > 50").select("query", "id", ((F.col("id") % 11).cast("double") / 10).alias("score"))
-    return lex, sem, skg
+    """The two lists and, for their documents, the mass of the entity graph's walk."""
+    lex, sem = two(spark, sf_dir)
+    skg = lex.select("query", "id").union(sem.select("query", "id")).distinct().join(walk(spark, sf_dir), "id").select("query", "id", F.col("mass").alias("score"))
+    return lex, sem.select("query", "id", "score"), skg
 
 
 def duck_blend(score: str) -> str:
@@ -308,17 +318,17 @@ def blend_normalized(spark, sf_dir):
     return search.blend(*three(spark, sf_dir), normalized=True).select("query", "id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_THREE}, lr AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM lex), u AS (SELECT query, id, rank FROM lr UNION ALL SELECT query, id, rank FROM sem)
+@query(f"""WITH {_TWO}, lr AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM lex), u AS (SELECT query, id, rank FROM lr UNION ALL SELECT query, id, rank FROM sem)
 SELECT query, id, round(sum(1 / (60.0 + rank)), 9) AS score FROM u GROUP BY 1, 2""")
 def rrf(spark, sf_dir):
-    lex, sem, _ = three(spark, sf_dir)
+    lex, sem = two(spark, sf_dir)
     return search.rrf(search.top(lex, 1000), sem).select("query", "id", F.round("score", 9).alias("score"))
 
 
-@query(f"""WITH {_THREE}, u AS (SELECT query, id, 0.7 * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS part FROM lex WINDOW w AS (PARTITION BY query) UNION ALL SELECT query, id, 0.3 * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) FROM sem WINDOW w AS (PARTITION BY query))
+@query(f"""WITH {_TWO}, u AS (SELECT query, id, 0.7 * CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS part FROM lex WINDOW w AS (PARTITION BY query) UNION ALL SELECT query, id, 0.3 * CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END FROM sem WINDOW w AS (PARTITION BY query))
 SELECT query, id, round(sum(part), 6) AS score FROM u GROUP BY 1, 2""")
 def minmax_fusion(spark, sf_dir):
-    lex, sem, _ = three(spark, sf_dir)
+    lex, sem = two(spark, sf_dir)
     return search.minmax_fusion(lex, sem, 0.3).select("query", "id", F.round("score", 6).alias("score"))
 
 
