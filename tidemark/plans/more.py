@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import duck_tokens, tokens
 from tidemark.operators import hybrid, search
 from tidemark.plans.telemetry import HOUR, duck_telemetry, telemetry
-from tidemark.plans.text import CLASSIC, duck_bm25, duck_question, vectors
+from tidemark.plans.text import _COSINE, CLASSIC, duck_bm25, duck_question, vectors
 from tidemark.session import scratch_path
 from tidemark.sources import sinks
 from tidemark.sources import tables as t
@@ -37,12 +37,13 @@ def search_filtered(spark, sf_dir):
     return found.select("id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""WITH {DUCK_SECTIONS}, {duck_bm25(CLASSIC, questions=duck_question({'le': 1, 'der': 1}))}, sem AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS score FROM embeddings JOIN sections ON vec_id = id WHERE embedding[1] > 0),
+@query(f"""WITH {DUCK_SECTIONS}, {duck_bm25(CLASSIC, questions=duck_question({'le': 1, 'der': 1}))}, {_COSINE.replace("q.vec_id % 50 = 0", "q.vec_id = 0").replace("near AS", "nearest AS")}, sem AS (SELECT n.id, n.cosine AS score FROM nearest n JOIN sections USING (id) WHERE n.rank <= 60 AND n.cosine > 0),
 j AS (SELECT coalesce(l.id, s.id) AS id, coalesce(l.score, 0) AS lex, coalesce(s.score, 0) AS sem FROM scored l FULL JOIN sem s ON l.id = s.id),
 r AS (SELECT id, CASE WHEN lex > 0 THEN lex * (1 + 0.5 * sem) ELSE sem END AS score FROM j WHERE lex > 0 OR sem > 0), k AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM r)
 SELECT id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 40""")
 def search_hybrid(spark, sf_dir):
-    sem = vectors(spark, sf_dir)[0].select("id", F.element_at("vector", 1).cast("double").alias("score")).filter("score > 0")
+    v = vectors(spark, sf_dir)[0]
+    sem = search.cosine_top_k(v, v.filter("id = 0"), 60).select("id", F.col("cosine").alias("score")).filter("score > 0")
     found, _ = hybrid.hybrid_search(t.sections(spark, sf_dir), "le der", 40, "hybrid_strict", semantic=sem, stemmed=False)
     return found.select("id", F.round("score", 6).alias("score"), "rank")
 
@@ -77,12 +78,13 @@ def document_import(spark, sf_dir):
     return d.groupBy("entity", hybrid.document_id(F.col("kind"), F.col("ts_start"), F.col("title"), F.col("body")).alias("id")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {duck_telemetry(HOUR)} SELECT entity, bucket >> 16 AS shard, bucket, n FROM telemetry WHERE bucket BETWEEN 35100 AND 35500""")
+@query(f"""WITH {duck_telemetry(HOUR)} SELECT entity, bucket >> 16 AS shard, bucket, n FROM telemetry, (SELECT min(bucket) AS b0, max(bucket) AS b1 FROM telemetry) WHERE bucket BETWEEN b0 + (b1 - b0) // 4 AND b1""")
 def shard_round_trip(spark, sf_dir):
     """Telemetry written by entity and shard, read back with bounds that prune shards."""
     path = scratch_path(spark, "shards")
     sinks.write_shards(telemetry(spark, sf_dir, HOUR), path)
-    return sinks.read_shards(spark, path, 35100, 35500).select("entity", F.col("shard").cast("long").alias("shard"), "bucket", "n")
+    lo, hi = sinks.read_shards(spark, path).agg(F.min("bucket"), F.max("bucket")).first()
+    return sinks.read_shards(spark, path, lo + (hi - lo) // 4, hi).select("entity", F.col("shard").cast("long").alias("shard"), "bucket", "n")
 
 
 @query(f"""WITH {duck_telemetry(HOUR)}, x AS (SELECT entity, bucket, n FROM telemetry) SELECT entity, 0 AS shard, count(*) AS version, 'different' AS reason FROM x GROUP BY 1 HAVING count(*) FILTER (bucket % 50 = 0) > 0""")
