@@ -27,11 +27,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which the shuffle files of an execution go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes the rows to the shared folder and returns the table read back: lineage ends there, and it survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes the rows to the shared folder and returns the table read back: lineage ends there, and it survives lost executors.
+
+    The write's shuffle files go with its end, as nothing refers to them any more.
+    """
+    spark = df.sparkSession
+    path, before = scratch_path(spark, label), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out
 
