@@ -179,7 +179,7 @@ def _reach(pivots, cells, top: float, dim: int):
         times = blocks[c]
         within = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
         n = len(within)
-        return pa.table({"from": pa.array([key[0].as_py()] * n, pa.int32()), "deal": pa.array([key[1].as_py()] * n, pa.int32()), "cell": pa.array(np.repeat(c, times).astype(np.int32)), "block": pa.array(within.astype(np.int32))})
+        return pa.table({"deal": pa.array([key[0].as_py()] * n, pa.int32()), "cell": pa.array(np.repeat(c, times).astype(np.int32)), "block": pa.array(within.astype(np.int32))})
 
     return run
 
@@ -216,6 +216,18 @@ def _search(pivots, cells, k: int, top: float, dim: int):
     return run
 
 
+def _dealt(counts: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(cell, first deal, deals) of (cell, queries): cells in order fill deals of at most QUERIES; one that has more is split."""
+    out, deal, held = [], 0, 0
+    for cell, n in counts:
+        parts = -(-n // QUERIES)
+        if held and (held + n > QUERIES or parts > 1):
+            deal, held = deal + 1, 0
+        out.append((cell, deal, parts))
+        deal, held = (deal + parts, 0) if parts > 1 else (deal, held + n)
+    return out
+
+
 def top_k(embeddings: DataFrame, every: int = 20, k: int = 20, scale: int = 64, pivots: int = PIVOTS, rings: int = RINGS, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose id is divisible by `every`, its k highest integer inner products with the others.
 
@@ -250,14 +262,15 @@ def top_k(embeddings: DataFrame, every: int = 20, k: int = 20, scale: int = 64,
     named = spark.createDataFrame([(r.pivot, r.ring, i, int(b)) for i, (r, b) in enumerate(zip(sizes, blocks, strict=True))], "pivot int, ring int, cell int, blocks int")
     index = stored(ringed.join(F.broadcast(named), ["pivot", "ring"]).select("cell", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), "row", "vec_id", "far", "x"), "index")
 
-    # queries of an annulus are dealt into bounded groups; which blocks a group reaches is all that is kept, no vectors
+    # queries of neighbouring annuli are dealt into groups of about QUERIES; which blocks a group reaches is all that is kept, no vectors
     looked = stored(index.groupBy("cell", "block").applyInArrow(_first_look(every, k, dim), "cell int, query long, query_id long, x binary, low long"), "looked")
-    deals = looked.groupBy(F.col("cell").alias("from")).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("deals"))
-    asked = looked.withColumnRenamed("cell", "from").join(F.broadcast(deals), "from")  # a row an annulus
-    asked = stored(asked.select("from", F.pmod(F.xxhash64("query"), "deals").cast("int").alias("deal"), "query", "query_id", "x", "low"), "asked")
-    reached = stored(asked.groupBy("from", "deal").applyInArrow(_reach(centres, cells, top, dim), "`from` int, deal int, cell int, block int"), "reached")
-    keys = ["cell", "block", "from", "deal"]
-    left, right = asked.join(reached, ["from", "deal"]), index.join(reached, ["cell", "block"])
+    counts = looked.groupBy("cell").count().orderBy("cell").collect()  # a row an annulus
+    deals = spark.createDataFrame(_dealt([(r["cell"], r["count"]) for r in counts]), "cell int, first int, parts int")
+    asked = looked.join(F.broadcast(deals), "cell").withColumn("deal", (F.col("first") + F.pmod(F.xxhash64("query"), "parts")).cast("int"))
+    asked = stored(asked.select("deal", "query", "query_id", "x", "low"), "asked")
+    reached = stored(asked.groupBy("deal").applyInArrow(_reach(centres, cells, top, dim), "deal int, cell int, block int"), "reached")
+    keys = ["cell", "block", "deal"]
+    left, right = asked.join(reached, "deal"), index.join(reached, ["cell", "block"])
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(centres, cells, k, top, dim), "query long, query_id long, vec_id long, score long")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     out = stored(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "topk")
