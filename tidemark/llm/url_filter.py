@@ -60,7 +60,7 @@ def templates(counts: DataFrame, depth: int) -> DataFrame:
         fan = at.filter("own is not null").groupBy("host", "node", "own").agg(F.lit(1).alias("one")).groupBy("host", "node").agg(F.count("*").alias("fan"), F.count_if(F.col("own").rlike("[0-9]")).alias("digits"))
         wild = stored(fan.filter((F.col("fan") > FAN) | ((F.col("fan") >= FEW) & (F.col("digits") >= DIGITS * F.col("fan")))).select("host", "node", F.lit(True).alias("wild")), "wild")
         changed = F.transform("segments", lambda s, i: F.when((i == F.lit(level)) & F.col("wild"), F.lit("*")).otherwise(s))  # noqa: B023
-        out = at.join(small_side(wild), ["host", "node"], "left").withColumn("wild", F.coalesce("wild", F.lit(False))).withColumn("segments", changed).drop("node", "own", "wild")
+        out = at.join(small_side(wild, 50_000), ["host", "node"], "left").withColumn("wild", F.coalesce("wild", F.lit(False))).withColumn("segments", changed).drop("node", "own", "wild")
     return out
 
 
@@ -120,8 +120,8 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
         return (x["blocked"] + weight * purity) / (x["labelled"] + weight)
 
     purity = stored(tree.select("host", "template").join(above, ["host", "template"], "left").select("host", "template", F.aggregate(F.coalesce("above", F.lit([]).cast("array<struct<level:int,labelled:bigint,blocked:bigint>>")), F.lit(float(base)), smoothed).alias("purity")), "purity")
-    verdicts = stored(named.select("host", "path", "template").join(small_side(purity), ["host", "template"]), "verdicts")
-    out = rows.join(small_side(verdicts), ["host", "path"], "left")
+    verdicts = stored(named.select("host", "path", "template").join(small_side(purity, 50_000), ["host", "template"]), "verdicts")
+    out = rows.join(small_side(verdicts, 50_000), ["host", "path"], "left")
     verdict = F.coalesce("said", F.when(F.col("purity") >= 0.5, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", F.round("purity", 6).alias("purity"))
 
