@@ -122,7 +122,7 @@ pair(
 pair("fn_conditional", """SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'O'), 'open') AS st, CASE WHEN o_totalprice > 200000 THEN 1 END AS big, ifnull(nullif(o_orderpriority, '5-LOW'), 'low') AS pr FROM orders""")
 pair(
     "fn_array",
-    """SELECT vec_id, size(embedding) AS n, element_at(embedding, 1) > 0 AS pos, array_position(transform(embedding, x -> x > 0), true) AS first_pos, size(filter(embedding, x -> x > 0.1)) AS many, array_join(transform(slice(sort_array(embedding), 1, 3), x -> CAST(floor(x * 1000) AS BIGINT)), ',') AS low3, array_contains(transform(embedding, x -> CAST(floor(x * 10) AS BIGINT)), 3L) AS has3, size(array_distinct(transform(embedding, x -> CAST(floor(x * 10) AS BIGINT)))) AS kinds FROM embeddings""",
+    """SELECT vec_id, size(embedding) AS n, element_at(embedding, 1) > 0 AS pos, array_position(transform(embedding, x -> x > 0), true) AS first_pos, size(filter(embedding, x -> x > 0.1)) AS many, array_join(transform(slice(sort_array(embedding), 1, 3), x -> CAST(floor(x * 1000F) AS BIGINT)), ',') AS low3, array_contains(transform(embedding, x -> CAST(floor(x * 10F) AS BIGINT)), 3L) AS has3, size(array_distinct(transform(embedding, x -> CAST(floor(x * 10F) AS BIGINT)))) AS kinds FROM embeddings""",
     """SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, embedding[1] > 0 AS pos, CAST(list_position(list_transform(embedding, lambda x: x > 0), true) AS BIGINT) AS first_pos, CAST(len(list_filter(embedding, lambda x: x > CAST(0.1 AS DOUBLE))) AS INTEGER) AS many, array_to_string(list_transform(list_sort(embedding)[1:3], lambda x: CAST(floor(x * CAST(1000 AS FLOAT)) AS BIGINT)), ',') AS low3, list_contains(list_transform(embedding, lambda x: CAST(floor(x * CAST(10 AS FLOAT)) AS BIGINT)), 3) AS has3, CAST(len(list_distinct(list_transform(embedding, lambda x: CAST(floor(x * CAST(10 AS FLOAT)) AS BIGINT)))) AS INTEGER) AS kinds FROM embeddings""",
 )
 pair(
