@@ -25,3 +25,17 @@ def test_floats_are_scaled_as_floats(spark, tmp_path):
     e = pa.table({"vec_id": pa.array(range(3), pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32()))})
     got, want = against_sql(spark, tmp_path, "fn_array", embeddings=e)
     assert got == want
+
+
+def test_a_range_frame_isnt_walked_for_each_row(spark, tmp_path, data):
+    """Ties, edges of the frame, nulls, times before 1970; no frame of the plan is bounded by an interval."""
+    hours = [0, 0, 1, 2, 2, 3, 4, 4.5, 6.5, 6.5000001, 9, -3, -5, -5, None, None]
+    us = [None if h is None else round(h * 3.6e9) for h in hours]
+    e = pa.table({
+        "event_id": pa.array(range(32), pa.int64()), "ts": pa.array(us * 2, pa.timestamp("us")), "user_id": pa.array([1] * 32, pa.int64()),
+        "event_type": pa.array(["a"] * 16 + [None] * 16), "value": pa.array([None if i % 5 == 0 else float(i * 7 % 11) for i in range(32)]), "props": pa.array(["{}"] * 32),
+    })
+    got, want = against_sql(spark, tmp_path, "win_frame_range", events=e)
+    assert got == want
+    plan = registry.QUERIES["win_frame_range"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "INTERVAL" not in plan.upper()

@@ -64,7 +64,15 @@ pair("win_rank", """SELECT event_id, row_number() OVER w AS rn, rank() OVER w AS
 pair("win_lag", """SELECT event_id, lag(value, 1) OVER w AS before, lead(value, 2, -1.0) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 pair("win_value", """SELECT event_id, first_value(value) OVER w AS first, nth_value(value, 2) OVER w AS second, last_value(value) OVER w AS last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 pair("win_frame_rows", """SELECT event_id, max(value) OVER w AS hi, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING)""")
-pair("win_frame_range", """SELECT event_id, count(*) OVER w AS n, max(value) OVER w AS hi FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '2' HOUR PRECEDING AND CURRENT ROW)""")
+pair(
+    "win_frame_range",
+    # A frame of two hours is the end of one stretch of two hours and the start of the next: running aggregates over each, so that the work doesn't grow with the rows of a frame.
+    """WITH e AS (SELECT event_id, event_type, value, unix_micros(CAST(ts AS TIMESTAMP)) AS at FROM events), placed AS (SELECT *, (at - pmod(at, 7200000000)) div 7200000000 AS stretch FROM e),
+both AS (SELECT event_id, event_type, value, at, stretch, true AS own FROM placed UNION ALL SELECT NULL, event_type, value, at + 7200000000, stretch + 1, false FROM placed WHERE at IS NOT NULL)
+SELECT event_id, n, hi FROM (SELECT event_id, own, count_if(own) OVER start + count_if(NOT own) OVER rest AS n, greatest(max(CASE WHEN own THEN value END) OVER start, max(CASE WHEN NOT own THEN value END) OVER rest) AS hi FROM both
+  WINDOW start AS (PARTITION BY event_type, stretch ORDER BY at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), rest AS (PARTITION BY event_type, stretch ORDER BY at DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE own""",
+    """SELECT event_id, count(*) OVER w AS n, max(value) OVER w AS hi FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '2' HOUR PRECEDING AND CURRENT ROW)""",
+)
 pair(
     "win_frame_groups",
     """SELECT event_id, count(*) OVER w AS n FROM (SELECT event_id, event_type, dense_rank() OVER (PARTITION BY event_type ORDER BY user_id) AS g FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY g RANGE BETWEEN 1 PRECEDING AND CURRENT ROW)""",
