@@ -1,11 +1,13 @@
 """Queries on rows that the smallest tables don't hold, against their SQL twins, and steps against plain code."""
 
 import duckdb
-import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from pyspark.sql import functions as F
+
+from tidemark.operators import search
 from tidemark.plans import registry
 
 
@@ -39,3 +41,34 @@ def test_a_range_frame_isnt_walked_for_each_row(spark, tmp_path, data):
     assert got == want
     plan = registry.QUERIES["win_frame_range"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "INTERVAL" not in plan.upper()
+
+
+@pytest.mark.parametrize(("cells", "products"), [(1, 1), (50, 40), (1 << 18, 1 << 21)])
+@pytest.mark.parametrize("variant", ["classic", "plus", "l"])
+def test_scores_in_blocks(spark, monkeypatch, cells, products, variant):
+    """Blocks of any size give what joins give, and the best of each query with ties by id; no row is made for a token."""
+    monkeypatch.setattr(search, "CELLS", cells)
+    monkeypatch.setattr(search, "PRODUCTS", products)
+    words = "lighthouse harbour anchor mast keel rudder the".split()
+    body = [" ".join(words[(i * j) % 7] for j in range(1, 2 + i % 9)) for i in range(60)] + [None, "", "Ünïque!", "keel-keel"]
+    rows = [(i, None if i % 7 == 0 else f"{words[i % 5]} {i}", b) for i, b in enumerate(body)]
+    docs = spark.createDataFrame(rows, "id long, title string, body string").repartition(3)
+    q = spark.createDataFrame([(k, words[(k * 3 + j) % 7], 1 + j) for k in range(9) for j in range(3)] + [(9, "nowhere", 1)], "query int, term string, times long")
+    p = search.postings(docs, stemmed=False)
+    counted = p.counted(["keel"])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in counted and "Aggregate" not in counted
+    found = {(r.query, r.id): r.score for r in search.bm25(p, q, variant).collect()}
+    grouped = search.postings(docs.withColumn("g", F.lit(1)), group=["g"], stemmed=False)
+    want = {(r.query, r.id): r.score for r in search.bm25(grouped, q, variant).collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    best = [(r.query, r["rank"], r.id) for r in search.top(search.bm25(p, q, variant, best=4), 4).collect()]
+    ranked = {k: [i for _, i in sorted((-round(s, 9), i) for (q_, i), s in want.items() if q_ == k)[:4]] for k in range(9)}
+    assert sorted(best) == sorted((k, n + 1, i) for k, ids in ranked.items() for n, i in enumerate(ids))
+
+
+def test_more_terms_than_are_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a mast", "keel keel rudder"), (2, None, "mast"), (3, "x", None)], "id long, title string, body string")
+    q = spark.createDataFrame([(0, "keel", 1), (0, "mast", 2), (1, "rudder", 1)], "query int, term string, times long")
+    want = {(r.query, r.id): round(r.score, 9) for r in search.bm25(search.postings(docs, stemmed=False), q).collect()}
+    monkeypatch.setattr(search, "BROADCAST_ROWS", 1)
+    assert {(r.query, r.id): round(r.score, 9) for r in search.bm25(search.postings(docs, stemmed=False), q).collect()} == want

@@ -47,9 +47,14 @@ def folded(text: Column) -> Column:
     return F.lower(out)
 
 
+def spaced(text: Column) -> Column:
+    """The tokens of the text as one string, with a space between two; a space may lead or end it."""
+    return F.regexp_replace(F.coalesce(folded(text), F.lit("")), "[^a-z0-9]+", " ")
+
+
 def tokens(text: Column) -> Column:
     """Runs of ASCII letters and digits of the folded text; anything else separates."""
-    return F.filter(F.split(F.regexp_replace(F.coalesce(folded(text), F.lit("")), "[^a-z0-9]+", " "), " "), lambda t: t != "")
+    return F.filter(F.split(spaced(text), " "), lambda t: t != "")
 
 
 def duck_tokens(expr: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import STOP_WORDS, duck_tokens, tokens
 from tidemark.operators import knowledge, relations, search
-from tidemark.scratch import stored
+from tidemark.scratch import small_side, stored
 from tidemark.sources import readers
 from tidemark.sources import tables as t
 from tidemark.sources.tables import DUCK_DOCS, DUCK_SECTIONS
@@ -58,7 +58,7 @@ SELECT query, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r
 
 def benchmark_search(spark: SparkSession, sf_dir: str, variant: str, stemmed: bool = False) -> DataFrame:
     q = search.query_table(t.table(spark, sf_dir, "benchmark"), "item_id", "text", stemmed)
-    found = search.bm25(search.postings(t.sections(spark, sf_dir), stemmed=stemmed), q, variant)
+    found = search.bm25(search.postings(t.sections(spark, sf_dir), stemmed=stemmed), q, variant, best=10)
     return search.top(found, 10).select("query", "id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -253,8 +253,9 @@ SELECT query, CAST(hit AS INTEGER) AS hit, round(coalesce(1.0 / first, 0.0), 6)
 def ir_metrics(spark, sf_dir):
     """Benchmark texts as questions; a document is relevant if it holds four fifths of the text's distinct tokens."""
     b = t.table(spark, sf_dir, "benchmark")
-    found = search.bm25(search.postings(t.sections(spark, sf_dir), stemmed=False), search.query_table(b, "item_id", "text", stemmed=False))
-    ranked = search.top(found, 20).join(b.select(F.col("item_id").alias("query"), tokens(F.col("text")).alias("answer")), "query").join(t.sections(spark, sf_dir).select("id", tokens(F.col("body")).alias("own")), "id")
+    found = search.bm25(search.postings(t.sections(spark, sf_dir), stemmed=False), search.query_table(b, "item_id", "text", stemmed=False), best=20)
+    first = small_side(stored(search.top(found, 20).select("query", "id", "rank"), "ranked"))
+    ranked = t.sections(spark, sf_dir).select("id", "body").join(first, "id").join(b.select(F.col("item_id").alias("query"), tokens(F.col("text")).alias("answer")), "query").withColumn("own", tokens(F.col("body")))
     share = relations.containment(F.col("answer"), F.col("own"))
     m = relations.ranking_metrics(ranked.filter(share.isNotNull()).select("query", "rank", F.when(share >= 0.8, 1.0).otherwise(0.0).alias("gain")), 10)
     return m.select("query", "hit", F.round("mrr", 6).alias("mrr"), F.round("ndcg", 6).alias("ndcg"))
@@ -290,7 +291,7 @@ def two(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     v, _ = vectors(spark, sf_dir)
     items = t.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
     q = search.query_table(t.table(spark, sf_dir, "benchmark"), "item_id", "text", stemmed=False)
-    lex = search.top(search.bm25(search.postings(t.sections(spark, sf_dir), stemmed=False), q), 30).select("query", "id", "score")
+    lex = search.top(search.bm25(search.postings(t.sections(spark, sf_dir), stemmed=False), q, best=30), 30).select("query", "id", "score")
     sem = search.cosine_top_k(v, v.join(items, "id", "left_semi"), 30).select(F.col("query_id").alias("query"), "id", F.col("cosine").alias("score"), "rank")
     return stored(lex, "lexical"), stored(sem, "semantic")
 
