@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import search
+from tidemark.operators import knowledge, search
 from tidemark.plans import registry
 
 
@@ -72,3 +72,11 @@ def test_more_terms_than_are_broadcast(spark, monkeypatch):
     want = {(r.query, r.id): round(r.score, 9) for r in search.bm25(search.postings(docs, stemmed=False), q).collect()}
     monkeypatch.setattr(search, "BROADCAST_ROWS", 1)
     assert {(r.query, r.id): round(r.score, 9) for r in search.bm25(search.postings(docs, stemmed=False), q).collect()} == want
+
+
+def test_edges_of_some_entities(spark):
+    m = spark.createDataFrame([(i, e) for i in range(40) for e in "abcdefg" if (i * (ord(e) - 95)) % 5 < 2], "id long, entity string")
+    rows = lambda df: sorted((r.a, r.b, r.both, round(r.jaccard, 9), round(r.relatedness, 9)) for r in df.collect())
+    every = rows(knowledge.entity_graph(m))
+    for some in (["a"], ["c", "f"], ["a", "b", "g"]):
+        assert rows(knowledge.entity_graph(m, touching=some)) == [r for r in every if r[0] in some or r[1] in some]

@@ -68,18 +68,24 @@ def tag_pruned(candidates: DataFrame, tagged: DataFrame, query_tags: list[str])
     return candidates.join(tagged.filter(F.size(F.array_except(need, F.col("tags"))) == 0).select("id"), "id", "left_semi")
 
 
-def entity_graph(mentions: DataFrame, least: float = MIN_JACCARD) -> DataFrame:
+def entity_graph(mentions: DataFrame, least: float = MIN_JACCARD, touching: list[str] | None = None) -> DataFrame:
     """(a, b, both, jaccard, relatedness) of entities that share sections, from mentions(id, entity).
 
     jaccard is at least `least`. relatedness is tanh(sign(z) ln(1 + |z|) / 3) with z the number of shared sections against
     what independence would give, in standard deviations; 0 where that has no spread. Pairs come from co-occurrence in a
-    section, so the work is the sum of squares of entities a section, not of entities.
+    section, so the work is the sum of squares of entities a section, not of entities. With touching, only edges of
+    these entities are made, and the work is their mentions times entities a section.
     """
     m = mentions.select("id", "entity").distinct()
     n = m.select("id").distinct().count()
     sizes = m.groupBy("entity").agg(F.count("*").alias("k"))
-    lists = m.groupBy("id").agg(F.array_sort(F.collect_set("entity")).alias("e"))
-    pairs = lists.select("e", F.posexplode("e").alias("i", "a")).select("a", F.explode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("b"))
+    if touching is None:
+        lists = m.groupBy("id").agg(F.array_sort(F.collect_set("entity")).alias("e"))
+        pairs = lists.select("e", F.posexplode("e").alias("i", "a")).select("a", F.explode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("b"))
+    else:
+        own = m.filter(F.col("entity").isin(*touching))
+        pairs = m.select("id", F.col("entity").alias("other")).join(own.select("id", F.col("entity").alias("seed")), "id").filter(F.col("other") != F.col("seed"))
+        pairs = pairs.filter((F.col("seed") < F.col("other")) | ~F.col("other").isin(*touching)).select(F.least("seed", "other").alias("a"), F.greatest("seed", "other").alias("b"))  # a pair of two of them once
     both = pairs.groupBy("a", "b").agg(F.count("*").alias("both"))
     g = both.join(sizes.toDF("a", "ka"), "a").join(sizes.toDF("b", "kb"), "b")
     g = g.withColumn("jaccard", F.col("both") / (F.col("ka") + F.col("kb") - F.col("both"))).filter(F.col("jaccard") >= least)

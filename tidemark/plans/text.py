@@ -130,9 +130,10 @@ graph AS (SELECT a, b, "both", jaccard, CASE WHEN spread > 0 THEN tanh(sign(("bo
 
 def mentions(spark, sf_dir) -> DataFrame:
     """(id, entity): documents' words that are names, which here are the benchmark's words of eight letters or more."""
-    m = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("entity"))
     names = t.table(spark, sf_dir, "benchmark").select(F.explode(tokens(F.col("text"))).alias("entity")).filter(F.length("entity") >= 8).distinct()
-    return m.join(names, "entity").select("id", "entity")
+    long = F.filter(tokens(F.col("text")), lambda w: F.length(w) >= 8)
+    m = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(long)).alias("entity"))
+    return stored(m.join(small_side(names), "entity").select("id", "entity"), "mentions")  # texts are cut into tokens once
 
 
 @query(f"""WITH {_GRAPH} SELECT a, b, "both", round(jaccard, 6) AS jaccard, round(relatedness, 6) AS relatedness FROM graph""")
@@ -152,7 +153,8 @@ raw AS (SELECT id, sum(w) AS raw FROM mentions JOIN weight USING (entity) GROUP
 
 def walk(spark, sf_dir) -> DataFrame:
     m = mentions(spark, sf_dir)
-    return knowledge.graph_walk(knowledge.entity_graph(m), m, first_seeds(m))
+    seeds = first_seeds(m)
+    return knowledge.graph_walk(stored(knowledge.entity_graph(m, touching=seeds), "edges"), m, seeds)
 
 
 @query(f"""WITH {_WALK} SELECT id, round(mass, 6) AS mass FROM mass""")
