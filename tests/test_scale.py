@@ -80,3 +80,20 @@ def test_edges_of_some_entities(spark):
     every = rows(knowledge.entity_graph(m))
     for some in (["a"], ["c", "f"], ["a", "b", "g"]):
         assert rows(knowledge.entity_graph(m, touching=some)) == [r for r in every if r[0] in some or r[1] in some]
+
+
+def test_phrases_are_looked_for_where_texts_lie(spark, monkeypatch):
+    """Against the join that larger dictionaries take; no row is made for a run of tokens."""
+    words = "red green blue sea sea-green deep".split()
+    body = [" ".join(words[(i * 7 + j * j) % 6] for j in range(i % 13)) for i in range(50)] + [None, "", "!", "deep blue", "deep", "blue sea", "red red red"]
+    docs = spark.createDataFrame(list(enumerate(body)), "id long, body string").repartition(3)
+    book = [("red", "R"), ("Red green", "RG"), ("red green blue", "RGB"), ("deep blue sea", "DBS"), ("blue sea", "BS"), ("blue", "B"), ("blue", "B2"), ("red red", "RR"), ("sea-green deep", "SD"), ("...", "none")]
+    phrases = spark.createDataFrame(book, "phrase string, action string")
+    for longest in (True, False):
+        df = knowledge.tag_by_table(docs, phrases, longest)
+        got = sorted((r.id, r.tags) for r in df.collect())
+        assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+        with monkeypatch.context() as m:
+            m.setattr(knowledge, "BROADCAST_ROWS", 0)
+            assert got == sorted((r.id, r.tags) for r in knowledge.tag_by_table(docs, phrases, longest).collect())
+    assert knowledge.tag_by_table(docs, phrases.limit(0)).count() == len(body)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import query_tokens, tokens
-from tidemark.scratch import small_side, stored
+from tidemark.functions.text import query_tokens, spaced, tokens
+from tidemark.scratch import BROADCAST_ROWS, small_side, stored
 
 MIN_JACCARD = 0.1
 
@@ -45,10 +47,72 @@ def tag(sections: DataFrame, dictionary: dict[str, str], longest_only: bool = Tr
     return sections.select("id", tokens(F.col("body")).alias("words")).mapInArrow(run, "id long, tags array<string>")
 
 
+def _tagged(book, longest_only: bool):
+    """Tags by a tree of the phrases' words: all places of a batch go down a level at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(sorted({w for phrase, _ in book.value for w in phrase}), pa.string())
+        number, actions = {w: i for i, w in enumerate(words.to_pylist())}, [a for _, a in book.value]
+        tree: dict[tuple[int, int], int] = {}
+        ends = {}
+        for k, (phrase, _) in enumerate(book.value):
+            node = 0
+            for w in phrase:
+                node = tree.setdefault((node, number[w]), len(tree) + 1)
+            ends[node] = k
+        edges = np.array(sorted((a * len(words) + w, b) for (a, w), b in tree.items()), np.int64).reshape(-1, 2)
+        phrase_of = np.full(len(tree) + 1, -1)
+        phrase_of[list(ends)] = list(ends.values())
+
+        for batch in batches:
+            parts = pc.split_pattern(batch.column("words"), " ")
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+            coded = parts.flatten().dictionary_encode()
+            code = coded.indices.to_numpy()
+            own = pc.fill_null(pc.index_in(coded.dictionary, value_set=words), -1).to_numpy(zero_copy_only=False)[code]
+            real = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)[code]
+            row, own = row[real], own[real]
+            at, n, found = np.flatnonzero(own >= 0), 0, []
+            node = np.zeros(len(at), np.int64)
+            while len(at):
+                key = node * len(words) + own[at + n]
+                place = np.minimum(np.searchsorted(edges[:, 0], key), len(edges) - 1)
+                there = edges[place, 0] == key
+                at, node, n = at[there], edges[place[there], 1], n + 1
+                hit = phrase_of[node] >= 0
+                found.append((at[hit], np.full(hit.sum(), n), phrase_of[node[hit]]))
+                on = at + n < len(own)
+                at, node = at[on], node[on]
+                on = (row[at + n] == row[at]) & (own[at + n] >= 0)
+                at, node = at[on], node[on]
+            tags = [set() for _ in range(batch.num_rows)]
+            if found:
+                at, size, phrase = (np.concatenate(x) for x in zip(*found, strict=True))
+                if longest_only:
+                    order, keep, free = np.lexsort((-size, at)), [], 0
+                    for i, a, k in zip(order.tolist(), at[order].tolist(), size[order].tolist(), strict=True):
+                        if a >= free:
+                            keep.append(i)
+                            free = a + k
+                    at, phrase = at[keep], phrase[keep]
+                for x in np.unique(row[at] * len(actions) + phrase).tolist():
+                    tags[x // len(actions)].update(actions[x % len(actions)])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([sorted(x) for x in tags], pa.list_(pa.string()))], ["id", "tags"])
+
+    return run
+
+
 def tag_by_table(sections: DataFrame, phrases: DataFrame, longest_only: bool = True) -> DataFrame:
-    """tag() for a dictionary that is a table, phrases(phrase, action): runs of tokens are joined with it, so neither side meets the driver."""
+    """tag() for a dictionary that is a table, phrases(phrase, action).
+
+    Up to BROADCAST_ROWS phrases go to the tasks, which look for them where the texts lie; of more, runs of tokens are
+    joined with the table, so that neither side meets the driver.
+    """
     d = phrases.select(F.array_join(tokens(F.col("phrase")), " ").alias("run"), "action").filter("run != ''").groupBy("run").agg(F.collect_set("action").alias("actions"))
     d = stored(d.withColumn("n", F.size(F.split("run", " "))), "phrases")
+    if d.count() <= BROADCAST_ROWS:
+        book = d.sparkSession.sparkContext.broadcast([(r.run.split(" "), sorted(r.actions)) for r in d.collect()])
+        return sections.select("id", spaced(F.col("body")).alias("words")).mapInArrow(_tagged(book, longest_only), f"id {dict(sections.dtypes)['id']}, tags array<string>")
     sizes = [r.n for r in d.select("n").distinct().collect()]  # lengths of phrases
     words = sections.select("id", tokens(F.col("body")).alias("words"))
     runs = lambda n: F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice("words", i, n), " ").alias("run")))
