@@ -97,3 +97,8 @@ def test_phrases_are_looked_for_where_texts_lie(spark, monkeypatch):
             m.setattr(knowledge, "BROADCAST_ROWS", 0)
             assert got == sorted((r.id, r.tags) for r in knowledge.tag_by_table(docs, phrases, longest).collect())
     assert knowledge.tag_by_table(docs, phrases.limit(0)).count() == len(body)
+
+
+def test_transitions_move_one_key(spark, data):
+    plan = registry.QUERIES["markov_transitions"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(run" in plan

@@ -208,8 +208,10 @@ def spell(words: DataFrame, vocabulary: DataFrame, shortlist: int = 20, most: in
 def transitions(sections: DataFrame) -> DataFrame:
     """(w1, w2, w3, times): how often w3 follows the pair in the bodies' tokens; a generator's table."""
     t = sections.select(tokens(F.col("body")).alias("t")).filter(F.size("t") >= 3)
-    at = F.explode(F.sequence(F.lit(0), F.size("t") - 3))
-    return t.select("t", at.alias("i")).select(F.get("t", F.col("i")).alias("w1"), F.get("t", F.col("i") + 1).alias("w2"), F.get("t", F.col("i") + 2).alias("w3")).groupBy("w1", "w2", "w3").agg(F.count("*").alias("times"))
+    at = F.explode(F.sequence(F.lit(1), F.size("t") - 2))
+    run = F.array_join(F.slice("t", F.col("i"), 3), " ")  # tokens have no spaces: one short key instead of three padded ones
+    w = F.split("run", " ")
+    return t.select("t", at.alias("i")).select(run.alias("run")).groupBy("run").agg(F.count("*").alias("times")).select(*[F.get(w, F.lit(i)).alias(f"w{i + 1}") for i in range(3)], "times")
 
 
 #: Words of a phrase that stand for others; fixed values.
