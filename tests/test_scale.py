@@ -1,5 +1,7 @@
 """Queries on rows that the smallest tables don't hold, against their SQL twins, and steps against plain code."""
 
+from datetime import datetime, timedelta
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import knowledge, search
 from tidemark.plans import registry
+from tidemark.streaming import live
 
 
 def against_sql(spark, folder, name, **tables):
@@ -102,3 +105,19 @@ def test_phrases_are_looked_for_where_texts_lie(spark, monkeypatch):
 def test_transitions_move_one_key(spark, data):
     plan = registry.QUERIES["markov_transitions"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(run" in plan
+
+
+def test_edges_across_stretches_and_batches(spark, tmp_path):
+    """Batch after batch against plain code; no Python state holds a series, and a batch that comes again changes nothing."""
+    sink, last, want = live.RisingEdges(str(tmp_path), 60.0), {}, []
+    for b in range(3):
+        rows = [(e, "value", datetime(2024, 1, 1) + timedelta(minutes=37 * ((i * 7) % 20) + 400 * b), i, None if (i + b) % 6 == 0 else float((i * 31 + b * 17 + len(e)) % 120)) for e in ("a", "bb") for i in range(20)]
+        for e, _, ts, _, v in sorted(rows, key=lambda r: (r[2], r[3])):
+            if v is not None:
+                if v > 60 and not last.get(e, 0) > 60:
+                    want.append((e, ts))
+                last[e] = v
+        df = spark.createDataFrame(rows, "entity string, path string, ts timestamp, seq long, num double")
+        sink(df, b)
+        sink(df, b)
+    assert sorted((r.entity, r.ts) for r in spark.read.parquet(f"{sink.edges}/batch=*").collect()) == sorted(want)

@@ -64,8 +64,10 @@ def stream_late_rewrite(spark, sf_dir):
 
 @query(f"""WITH {DUCK_SAMPLES}, s AS (SELECT *, lag(num) OVER (PARTITION BY entity ORDER BY ts, seq) AS before FROM samples WHERE path = 'value' AND num IS NOT NULL) SELECT entity, ts FROM s WHERE num > 60 AND (before <= 60 OR before IS NULL)""")
 def stream_rising_edges(spark, sf_dir):
-    e = finished(spark, live.rising_edges(stream(spark, sf_dir), 60.0), "edges")
-    return e.select("entity", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    sink = live.RisingEdges(scratch_path(spark, "edges"), 60.0)
+    q = stream(spark, sf_dir).writeStream.foreachBatch(sink).option("checkpointLocation", scratch_path(spark, "commits")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{sink.edges}/batch=*").select("entity", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 def engine(spark, sf_dir, width) -> Engine:
