@@ -652,3 +652,33 @@ def test_pipeline(spark, data):
 
 def test_crc_of_ids():
     assert zlib.crc32(np.array([2], "<u4").tobytes()) == zlib.crc32(b"\x02\0\0\0")
+
+
+def test_pairs_in_reach_are_no_rows(spark):
+    """Of many sets in reach of each other's sketches that hardly link, members and links are rows, not pairs; components are those of brute force."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base, rng.integers(0, 1 << 63, 26 - (k % 4 == 0) * 10).astype(np.uint64)])) for k in range(60)]
+    t = pa.table({
+        "bucket": pa.array([7] * 60, pa.int64()), "i": pa.array([-1] * 60, pa.int32()), "j": pa.array([-1] * 60, pa.int32()), "sig": pa.array(range(60), pa.int64()), "root": pa.array(range(60), pa.int64()),
+        "chunk": pa.array([-1] * 60, pa.int32()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array([parity_join._sketch(s).tobytes() for s in sets], pa.binary()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
+    })
+    p, q = 90, 100
+    key = tuple(pa.scalar(x) for x in (7, -1, -1))
+    reach = len(parity_join._reach(t, -1, -1, p, q)[0])
+    near = parity_join._near(p, q)(key, t)
+    links = parity_join._forest(p, q)(key, t)
+    assert reach > 4 * 60 and near.num_rows <= 60 and links.num_rows < 60
+    parent = list(range(60))
+    top = lambda x: x if parent[x] == x else top(parent[x])
+    for a in range(60):
+        for b in range(a):
+            if parity_join._similar(sets[a], sets[b], p, q):
+                parent[top(a)] = top(b)
+    want = [top(x) for x in range(60)]
+    parent = list(range(60))
+    for a, b in zip(*(links.column(c).to_pylist() for c in "ab"), strict=True):
+        assert parity_join._similar(sets[a], sets[b], p, q) and top(a) != top(b)
+        parent[top(a)] = top(b)
+    found = [top(x) for x in range(60)]
+    assert len(set(zip(want, found, strict=True))) == len(set(want)) == len(set(found)) < 60

@@ -319,39 +319,57 @@ def _linked(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return out
 
 
-_NEAR = "bucket long, a long, b long, root_a long, root_b long, apart long, more boolean"
+def _reach(t: pa.Table, left: int, right: int, p: int, q: int) -> tuple[np.ndarray, ...]:
+    """Places i and j of rows in two chunks of a bucket, and their sketches' distance: pairs of different components that the sketches don't rule out."""
+    sig, root, size, chunk = (t.column(c).to_numpy() for c in ("sig", "root", "n_shingles", "chunk"))
+    order = np.argsort(sig, kind="stable")
+    sketch, others, found = _level(t.column("sketch")), order[chunk[order] == right], [np.empty((3, 0), np.int64)]
+    for i in order[chunk[order] == left]:
+        rest = others if left != right else others[sig[others] > sig[i]]
+        rest = rest[root[rest] != root[i]]
+        rest = rest[(q * np.minimum(size[rest], size[i]) >= p * np.maximum(size[rest], size[i]))]
+        apart = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(1).astype(np.int64)
+        ok = apart <= (size[rest] + size[i]) * (q - p) // (q + p)
+        found.append(np.stack([np.full(ok.sum(), i), rest[ok], apart[ok]]))
+    return tuple(np.concatenate(found, axis=1))
 
 
-def _near(p: int, q: int, every: bool):
-    """Within two chunks of a bucket: pairs of different components within reach of the sketches.
+_OPEN = "bucket long, i int, j int, sig long, root long, chunk int"
 
-    Of two components the closest pair (more: whether there are others), or every one.
-    """
+
+def _near(p: int, q: int):
+    """Within two chunks of a bucket: the members that the sketches leave a partner in another component."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        bucket, left, right = (k.as_py() for k in key)
-        sig, root, size, chunk = (t.column(c).to_numpy() for c in ("sig", "root", "n_shingles", "chunk"))
-        order = np.argsort(sig, kind="stable")
-        sketch = _level(t.column("sketch"))
-        found: list[tuple] = []
-        others = order[chunk[order] == right]
-        for i in order[chunk[order] == left]:
-            rest = others if left != right else others[sig[others] > sig[i]]
-            rest = rest[root[rest] != root[i]]
-            rest = rest[(q * np.minimum(size[rest], size[i]) >= p * np.maximum(size[rest], size[i]))]
-            if not len(rest):
-                continue
-            apart = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(1)
-            ok = apart <= (size[rest] + size[i]) * (q - p) // (q + p)
-            found += [(int(sig[i]), int(sig[j]), *sorted((int(root[i]), int(root[j]))), int(d), False) for j, d in zip(rest[ok], apart[ok], strict=True)]
-        if not every:
-            best: dict[tuple, tuple] = {}
-            for x in found:
-                old = best.get(x[2:4])
-                best[x[2:4]] = x if old is None else (*min(x, old, key=lambda y: (y[4], *y[:2]))[:5], True)
-            found = list(best.values())
-        columns = {c: pa.array([x[k] for x in found], pa.int64()) for k, c in enumerate(("a", "b", "root_a", "root_b", "apart"))}
-        return pa.table({"bucket": pa.array([bucket] * len(found), pa.int64()), **columns, "more": pa.array([x[5] for x in found], pa.bool_())})
+        _, left, right = (k.as_py() for k in key)
+        a, b, _ = _reach(t, left, right, p, q)
+        return t.select(["bucket", "i", "j", "sig", "root", "chunk"]).take(pa.array(np.union1d(a, b)))
+
+    return run
+
+
+def _forest(p: int, q: int):
+    """Within two chunks of a bucket: links that join components, the closest pairs first. Pairs that the links so far join aren't verified; every other one is."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        _, left, right = (k.as_py() for k in key)
+        a, b, apart = _reach(t, left, right, p, q)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in t.column("shingles").chunks for x in c]
+        sig, above = t.column("sig").to_numpy(), np.unique(t.column("root").to_numpy(), return_inverse=True)[1]
+        parent = list(range(len(sig)))
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        links = []
+        for k in np.argsort(apart, kind="stable"):
+            x, y = top(int(above[a[k]])), top(int(above[b[k]]))
+            if x != y and _similar(sets[a[k]], sets[b[k]], p, q):
+                parent[x] = y
+                links.append(k)
+        return pa.table({"a": pa.array(sig[a[links]] if links else [], pa.int64()), "b": pa.array(sig[b[links]] if links else [], pa.int64())})
 
     return run
 
@@ -428,28 +446,17 @@ def jaccard_components(documents: DataFrame, ngram: int = 5, p: int = 80, q: int
     links = stored(links.unionAll(_linked(stored(apart, "apart"), sets, p, q)), "links")
     root = stored(connected_components(links), "roots")
 
-    # 4. Large buckets whose members still lie in more than one component: compare across components, in chunks. First
-    # the closest pair of each two components is verified; then every other pair in reach whose components still lie apart.
+    # 4. Large buckets whose members still lie in more than one component: compare across components, in chunks. Pairs in
+    # reach of the sketches are verified where they meet, so they are never rows: first the members that have any, then
+    # their shingles come, and links that join components leave.
     slim = sets.select("sig", "n_shingles", "sketch")
     everyone = stored(crowd.select("bucket", "sig").unionAll(large.select("bucket", F.col("leader").alias("sig"))), "everyone")
-    rooted = lambda: everyone.join(root, everyone.sig == root.node, "left").select("bucket", "sig", F.coalesce("root", "sig").alias("root"))
-    compared = lambda some, every: stored(_chunk_pairs(some).join(slim, "sig").groupBy("bucket", "i", "j").applyInArrow(_near(p, q, every), _NEAR), "near")
-    mixed = rooted().groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
-    open_ = stored(rooted().join(small_side(stored(mixed, "mixed")), "bucket"), "open")
+    rooted = everyone.join(root, everyone.sig == root.node, "left").select("bucket", "sig", F.coalesce("root", "sig").alias("root"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
+    open_ = stored(rooted.join(small_side(stored(mixed, "mixed")), "bucket"), "open")
     if open_.limit(1).count():
-        near = compared(open_, False)
-        closest = near.groupBy("root_a", "root_b").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("pair")).select("pair.a", "pair.b")
-        extra = _linked(stored(closest, "closest"), sets, p, q)
-        if extra.limit(1).count():
-            links = stored(links.unionAll(extra), "links")
-            root = stored(connected_components(links), "roots")
-        left = near.select("a", "b")
-        if near.filter("more").limit(1).count():
-            again = stored(rooted().join(small_side(stored(near.filter("more").select("bucket").distinct(), "unsettled")), "bucket"), "again")
-            left = left.unionAll(compared(again, True).select("a", "b"))
-        left = left.distinct().join(closest, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
-        left = stored(left.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "left")
-        extra = _linked(left, sets, p, q)
+        near = stored(_chunk_pairs(open_).join(slim, "sig").groupBy("bucket", "i", "j").applyInArrow(_near(p, q), _OPEN), "near")
+        extra = stored(near.join(sets, "sig").groupBy("bucket", "i", "j").applyInArrow(_forest(p, q), "a long, b long").distinct(), "joins")
         if extra.limit(1).count():
             root = stored(connected_components(links.unionAll(extra)), "roots")
 
